@@ -6,16 +6,8 @@ import importlib
 
 #: Query name -> (module of this subpackage, SQL constant there or None).
 QUERIES = {
-    "op1_redact_pii": ("pii", None),
-    "op2_identify_language": ("langid", None),
-    "op3_fingerprint": ("fingerprints", None),
     "op4_simhash_dedup": ("simhash_dedup", None),
-    "op5_line_dedup": ("line_dedup", None),
-    "op6_retrieval_packing": ("packing", None),
-    "op7_license_lookup": ("licenses", "OP7_SQL"),
     "op8_mix_sources": ("mixing", "OP8_SQL"),
-    "op9_class_lm": ("brown_lm", None),
-    "op10_topk_inner_product": ("topk", "OP10_SQL"),
 }
 
 
