@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import map_arrow, table, written
 from tessera.llm.components import components
 from tessera.llm.gray_index import hamming_links
 
@@ -58,7 +58,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``doc_id, fp`` (signed bit pattern) for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _fingerprint(batches, width), f"doc_id {kind}, fp bigint")
+    return map_arrow(docs.select("doc_id", "text"), lambda batches: _fingerprint(batches, width), f"doc_id {kind}, fp bigint")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
