@@ -9,7 +9,8 @@ per language; contexts and their back-off weights likewise. A document's
 language is the one of least cross-entropy per symbol; ties go to the lesser
 name. It is rejected when even that cross-entropy lies too far above what
 documents of the language have (calibrated on labelled documents that the
-models were not fitted on), or when it has no letter.
+models were not fitted on) and half-way to that of random letters, or when it
+has no letter.
 
 The models are fitted on a sample of labelled rows: at most DOCS_PER_LANGUAGE
 documents a language and DOCS in all, chosen by a hash of the id. Every
@@ -43,6 +44,8 @@ CACHE = 300_000
 AT_ONCE, LONG = 20_000, 400
 #: Distance above a language's mean cross-entropy that is still accepted, in units of the largest seen in calibration.
 MARGIN = 2.0
+#: A text is rejected only if its cross-entropy is also beyond this part of the way from the language's mean to that of random letters.
+FLOOR = 0.5
 UNKNOWN = "und"
 START, END = "\x02", "\x03"
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -215,7 +218,9 @@ def _score(batches: Iterator[pa.RecordBatch], models: Models) -> Iterator[pa.Rec
         sure = 1 / np.exp((mean - mean[at, best][:, None]) * np.minimum(n, LONG)[:, None]).sum(axis=1)
         reject = n == 0
         if models.limit is not None:
-            reject |= (entropy - models.mean[best]) * np.sqrt(np.minimum(n, LONG)) > models.limit[best]
+            above = entropy - models.mean[best]
+            far = above > FLOOR * (np.log(models.alphabet) - models.mean[best])
+            reject |= far & (above * np.sqrt(np.minimum(n, LONG)) > models.limit[best])
         named = np.where(n > 0, best, len(models.languages))
         columns = [batch.column(0), pa.array(names[named], pa.string()), pa.array(np.where(n > 0, sure, 0.0)), pa.array(np.where(n > 0, entropy, 0.0)), pa.array(n), pa.array(reject)]
         yield pa.RecordBatch.from_arrays(columns, names=["key", "lang_pred", "score", "entropy", "symbols", "rejected"])
