@@ -43,6 +43,8 @@ from tessera.llm.common import map_arrow, table, written
 THRESHOLD, MIN_LENGTH, EXACT_LENGTH = 2, 30, 20
 #: Rows of a key whose signatures are compared at once.
 TILE = 2048
+#: 64-bit words of the filter that tells which lines need their text: 16 MB whatever the input.
+FILTER_WORDS = 1 << 21
 #: Line hashes that a task remembers.
 SENT = 400_000
 
@@ -147,10 +149,13 @@ def _lines(batches: Iterator[pa.RecordBatch], exact: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(doc, kind), pa.array(key, pa.int64()), pa.array(number, pa.int32()), pa.array(h, pa.int64()), pa.array(size, pa.int32())], names=["doc_id", "doc_key", "line", "h", "size"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Each batch's distinct lines by hash."""
+def _texts(batches: Iterator[pa.RecordBatch], least: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each batch's distinct lines by hash, of those whose bit is set."""
     for batch in batches:
         found = {_hash(line): line for text in batch.column(0).to_pylist() for line in (text or "").split("\n") if len(line) >= least}
+        h = np.array(list(found), np.int64)
+        maybe = bits[(h >> 6) & (FILTER_WORDS - 1)].view(np.uint64) >> (h & 63).astype(np.uint64) & np.uint64(1)
+        found = {x: found[x] for x in h[maybe.astype(bool)].tolist()}
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["h", "text"])
 
 
@@ -254,6 +259,15 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
 
 
+def _filter_bits(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash, of FILTER_WORDS * 64. Only what passes is shuffled; what passes by chance goes in the join."""
+    words = hashes.select(F.shiftright("h", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("w"), F.shiftleft(F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    set_ = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.int64)
+    out[set_.column(0).to_numpy()] = set_.column(1).to_numpy()
+    return out
+
+
 def repeats(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENGTH, exact_length: int = EXACT_LENGTH) -> DataFrame:
     """``doc_id, doc_key, line, near``: lines of ``docs`` that repeat an earlier one, equally (near = false) or within the threshold. ``doc_key`` hashes the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -268,7 +282,8 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_L
     keyed_rows = keys.repartition(at).select(at.alias("at"), F.col("key").bitwiseAND(F.lit(3)).cast("int").alias("role"), "h", "sig").sortWithinPartitions("at")
     possible = written(map_arrow(keyed_rows, lambda b: _possible(b, threshold), "at bigint, h bigint").distinct())
     wanted = possible.select("h").distinct()
-    line_texts = map_arrow(texts, lambda b: _texts(b, min_length), "h bigint, text string").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted))  # of fixed size
+    line_texts = map_arrow(texts, lambda b: _texts(b, min_length, bits.value), "h bigint, text string").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
     placed = line_texts.join(firsts.select("h", "place"), "h")
     told = possible.join(placed, "h").select("at", F.struct(F.col("place.doc_id").alias("a"), F.col("place.doc_key").alias("b"), F.col("place.line").alias("c")).alias("place"), "h", "text")
     order = told.repartition("at").sortWithinPartitions("at", "place", "h").select("at", F.lit(0).alias("place"), "h", "text")
