@@ -289,7 +289,9 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_L
     order = told.repartition("at").sortWithinPartitions("at", "place", "h").select("at", F.lit(0).alias("place"), "h", "text")
     near = written(map_arrow(order, lambda b: _verify(b, threshold), "h bigint").distinct())
 
+    # written, so that both sides of the join below are plain exchanges and a very common line's partition can be split
     marked = firsts.join(near.withColumn("near", F.lit(True)), "h", "left").filter("near OR n > 1").select("h", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    marked = written(marked)
     repeated = lines.join(marked, "h").filter(F.col("near") | ~place.eqNullSafe(F.col("first")))
     return repeated.select("doc_id", "doc_key", "line", "near").distinct()
 
