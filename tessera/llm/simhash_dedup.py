@@ -71,7 +71,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     member = member.join(distinct, "fp")
     named = member.join(member.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     name = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return each.join(name, "fp").select("doc_id", "fp", "component_id")
+    # written, so that both sides of this join are plain exchanges and the partition of a very common text can be split
+    return each.join(written(name), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex64(fp: Column) -> Column:
