@@ -261,7 +261,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
 
 def _filter_bits(hashes: DataFrame) -> np.ndarray:
     """A bit for each hash, of FILTER_WORDS * 64. Only what passes is shuffled; what passes by chance goes in the join."""
-    words = hashes.select(F.shiftright("h", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("w"), F.shiftleft(F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    words = hashes.select(F.shiftright("h", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("w"), F.expr("shiftleft(1L, cast(h & 63 AS int))").alias("b"))
     set_ = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(FILTER_WORDS, np.int64)
     out[set_.column(0).to_numpy()] = set_.column(1).to_numpy()
