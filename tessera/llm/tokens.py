@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import sys
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -13,7 +16,7 @@ CACHE = 300_000
 #: The tokenizer's own way of cutting lower-cased text; fixed value.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words of these characters only are cut here; all others go through the whole tokenizer.
-PLAIN = regex.compile(r"[\x21-\x3b\x3d\x3f-\x7e\xa1-\xac\xae-\xff]+")
+PLAIN = re.compile(r"[\x21-\x3b\x3d\x3f-\x7e\xa1-\xac\xae-\xff]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -23,6 +26,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordTokens(dict):
     """Little-endian 32-bit ids of a word without white space, as bytes, by its text.
 
@@ -40,8 +50,8 @@ class WordTokens(dict):
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            found = _packed([t.id for t in self.tokenizer.model.tokenize(mapped)])
             if len(self.pieces) >= CACHE:
                 self.pieces.clear()
             self.pieces[piece] = found
@@ -49,9 +59,15 @@ class WordTokens(dict):
 
     def __missing__(self, word: str) -> bytes:
         if PLAIN.fullmatch(word):
-            found = b"".join(map(self._piece, PIECE.findall(word.lower())))
+            low = word.lower()
+            if low.isalpha():
+                found = self._piece(low)
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                found = self._piece(low[:-1]) + self._piece(low[-1])
+            else:
+                found = b"".join(map(self._piece, PIECE.findall(low)))
         else:
-            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            found = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         self[word] = found
         return found
 
