@@ -36,6 +36,11 @@ SPELLINGS = [
 #: A line that states a copyright: removed, whoever holds it.
 COPYRIGHT = r"(?m)^[^a-z0-9©\n]*(?:(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©)?[ \t]*(?:[0-9]{4}|<year>|\[year\]|\[yyyy\])|all rights reserved)[^\n]*$"
 
+#: Every text that a spelling or COPYRIGHT changes holds one of these.
+SPELLING_ANCHORS = ("http", "&", "licence", "sub-licens", "sub licens", "non-commercial", "non commercial", "non-infringement", "non infringement", "copyright", "(c)", "©", "all rights reserved", "merchantibility", "per cent")
+#: Every known text holds one of these words, in any spelling: lines without one need no digest.
+KNOWN_ANCHORS = ("licens", "licenc", "redistribution", "software")
+
 #: Known licence texts and notices. Fixed values.
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
 _BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
@@ -70,31 +75,41 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
+def _has(low: Column, anchors: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for a in anchors:
+        out = out | low.contains(a)
+    return out
+
+
+def canonical(low: Column) -> Column:
+    """Canonical form of lower-cased text. Only texts that hold what a spelling or the copyright rule starts from go through those."""
+    out = F.regexp_replace(low, COPYRIGHT, " ")
     for pattern, plain in SPELLINGS:
         out = F.regexp_replace(out, pattern, plain)
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.when(_has(low, SPELLING_ANCHORS), out).otherwise(low), r"[^\p{L}\p{N}]+", " "))
 
 
-def digest(text: Column) -> Column:
-    form = canonical(text)
+def digest(low: Column) -> Column:
+    form = canonical(low)
     return F.when(form != "", F.sha2(form, 256))
 
 
 def known(spark: SparkSession) -> DataFrame:
     """``known_digest, license_id``: at most one row per entry of KNOWN."""
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in KNOWN)))
-    listed = spark.range(1).select(rows.alias("r")).select("r.license_id", digest(F.col("r.text")).alias("known_digest"))
+    listed = spark.range(1).select(rows.alias("r")).select("r.license_id", digest(F.lower("r.text")).alias("known_digest"))
     return listed.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``doc_id, line, digest, license_id``: a row for the whole text of every document (line 0, licence null if unknown), and one for each whole line that is a known text."""
-    text = F.coalesce("text", F.lit(""))
-    whole = F.struct(F.lit(0).alias("line"), text.alias("unit"))
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit")))
-    units = docs.select(F.col(key).alias("doc_id"), F.explode(F.concat(F.array(whole), lines)).alias("u")).select("doc_id", "u.line", digest(F.col("u.unit")).alias("digest"))
+    low = F.col("low")
+    rows = docs.select(F.col(key).alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    lines = F.filter(F.transform(F.split(low, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit"))), lambda u: _has(u["unit"], KNOWN_ANCHORS))
+    none = F.array().cast("array<struct<line:int,unit:string>>")
+    whole = F.array(F.struct(F.lit(0).alias("line"), low.alias("unit")))
+    units = rows.select("doc_id", F.explode(F.concat(whole, F.when(_has(low, KNOWN_ANCHORS), lines).otherwise(none))).alias("u")).select("doc_id", "u.line", digest(F.col("u.unit")).alias("digest"))
     found = units.join(known(docs.sparkSession), F.col("digest") == F.col("known_digest"), "left")
     return found.filter((F.col("line") == 0) | F.col("license_id").isNotNull()).select("doc_id", "line", "digest", "license_id")
 
