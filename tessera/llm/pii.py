@@ -53,8 +53,9 @@ CUES = {
     "phone": r"(?i)(?:phone|\btel|call|fax|mobile|cell|whatsapp|contact|reach|appel|telefon)",
 }
 AGAINST = r"(?i)(?:version|order|isbn|issn|invoice|ref\b|\bid\b|serial|page|item|build|sku|part no|total|price|figure|score)"
-BEFORE, AFTER = 40, 12
+BEFORE, CLOSE, AFTER = 32, 10, 12
 TRAINING_TEXTS = 1600
+FEATURES = 16
 PRECISION = 0.98
 
 
@@ -109,9 +110,11 @@ def _features(c: Column, text: Column) -> list[Column]:
     start = F.greatest(c["start"] - BEFORE, F.lit(0))
     before = F.substring(text, start + 1, c["start"] - start)
     after = F.substring(text, c["end"] + 1, F.lit(AFTER))
-    cue = F.lit(False)
+    close = F.substring(text, F.greatest(c["start"] - CLOSE, F.lit(0)) + 1, c["start"] - F.greatest(c["start"] - CLOSE, F.lit(0)))
+    cue, close_cue = F.lit(False), F.lit(False)
     for i, k in enumerate(KINDS):
         cue = F.when(c["kind"] == i, before.rlike(CUES[k])).otherwise(cue)
+        close_cue = F.when(c["kind"] == i, close.rlike(CUES[k])).otherwise(close_cue)
     marks = F.regexp_replace(c["m"], "[A-Za-z0-9()]", "")
     plain = [
         c["kind"],
@@ -128,6 +131,8 @@ def _features(c: Column, text: Column) -> list[Column]:
         F.regexp_replace(c["m"], r"[\[(](?:\.|dot)[\])]", ".").rlike(OCTETS),
         c["m"].rlike(r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"),
         c["m"].rlike(r"[\[({](?i:at)[\])}]"),
+        close_cue,
+        close.rlike(AGAINST),
     ]
     return [x.cast("int") for x in plain]
 
@@ -181,7 +186,8 @@ def labelled_texts(n: int = TRAINING_TEXTS, seed: int = 7) -> list[tuple[str, in
         template, span = rng.choice(list((yes if label else no).items()))
         start = template.index(span)
         text = fill(template)
-        lead = "".join(rng.choice("aeinorst ") for _ in range(rng.randrange(30))) + " "
+        # words of context that belong to something else, at any distance
+        lead = rng.choice(("", "", "order 12, ", "page 7: ", "the total. ", "call me, ", "by mail; ", "version 2, ", "a card, ", "the server ")) + "".join(rng.choice("aeinorst ") for _ in range(rng.randrange(30))) + " "
         out.append((lead + text, len(lead) + start, len(lead) + start + len(span), label))
     return out
 
@@ -202,7 +208,7 @@ def _model(session_id: int):
     bar = []
     for k in range(len(KINDS)):
         own = [i for i, r in enumerate(rows) if not half[i] and r.kind == k]
-        bar.append(calibrated([model.score(features[i]) for i in own], [right[i] for i in own], PRECISION))
+        bar.append(max(0.0, calibrated([model.score(features[i]) for i in own], [right[i] for i in own], PRECISION)))  # at least even odds
     return model, tuple(bar)
 
 
@@ -213,7 +219,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     rows = rows.select("row", "text", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("loose"))
     featured = F.transform("loose", lambda c: F.struct(*(c[x].alias(x) for x in ("start", "kind", "end", "m")), F.array(*_features(c, F.col("text"))).alias("f")))
     scored = F.transform(
-        featured, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["m"].alias("m"), model.column([c["f"][i] for i in range(14)]).alias("score"))
+        featured, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["m"].alias("m"), model.column([c["f"][i] for i in range(FEATURES)]).alias("score"))
     )
 
     def high(c: Column) -> Column:
