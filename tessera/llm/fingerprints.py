@@ -83,7 +83,8 @@ def within_radius(queries: DataFrame, corpus: DataFrame, radius: int = 3) -> Dat
 
     left, right = placed(queries, "query_fp"), placed(corpus, "fp")
     met = left.join(right, ["t", "key"])
-    firsts = F.least(*(F.when(a == b, F.lit(t)).otherwise(F.lit(1 << 20)) for t, (a, b) in enumerate(zip(front_keys(F.col("query_fp"), radius), front_keys(F.col("fp"), radius)))))
+    both = zip(front_keys(F.col("query_fp"), radius), front_keys(F.col("fp"), radius))
+    firsts = F.array_min(F.array(*(F.when(a == b, F.lit(t)) for t, (a, b) in enumerate(both))))
     distance = F.bit_count(F.col("query_fp").bitwiseXOR(F.col("fp")))
     return met.filter((distance <= radius) & (F.col("t") == firsts)).select("query_fp", "fp", distance.alias("distance"))
 
