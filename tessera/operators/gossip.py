@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import shared_dir
+from tessera.operators.storage import shared_dir
 
 THRESHOLD, STEADY, EVERY = 1e-10, 3, 8
 

@@ -7,26 +7,10 @@ summed on the driver, and every partition adds its offset to local numbers.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), or a temporary one where it is unset."""
-    found = spark.sparkContext.getCheckpointDir()
-    if found is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if found is None:
-            found = tempfile.mkdtemp(prefix="shared-")
-            atexit.register(shutil.rmtree, found, True)
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+from tessera.operators.storage import written
 
 
 def sort_values(df: DataFrame, column: str) -> DataFrame:
@@ -41,11 +25,8 @@ def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
 
 def dealt(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
     """``df`` with the number ``_p`` of its range partition, fixed by writing it. Ties stay in one partition."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{shared_dir(spark)}/dealt-{uuid.uuid4().hex}"
-    df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
-    return spark.read.parquet(path)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "dealt")
 
 
 def _offsets(totals: list[tuple[int, int]], spark: SparkSession) -> Column:

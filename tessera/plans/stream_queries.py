@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.operators import folds
-from tessera.operators.ordering import shared_dir
+from tessera.operators.storage import new_path
 from tessera.plans.catalog import query, table
 from tessera.streaming import processors, pubsub
 
@@ -85,7 +83,7 @@ def second_window_counts_stream(spark, sf_dir):
     """The same counts by a stream that reads all there is and ends."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
-    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    where = new_path(spark, "stream")
 
     def keep(batch, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/counts")
