@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,33 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests on one machine)."""
-    configured = spark.sparkContext.getCheckpointDir()
-    if configured is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            named = tempfile.mkdtemp(prefix="shared-")
-            atexit.register(shutil.rmtree, named, True)
-        spark.sparkContext.setCheckpointDir(named)
-        configured = spark.sparkContext.getCheckpointDir()
-    return configured
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder; for small tables that several jobs read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder; for tables that grow with the input."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` on batches of bounded bytes: long texts must not make a batch of a set number of rows grow."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.operators.storage import cut
+
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -19,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import local_frame, table, word_count, written
+from tessera.llm.common import local_frame, table, word_count
+from tessera.operators.storage import written
 
 #: Bits of the hash, in levels of LEVEL_BITS.
 HASH_BITS, LEVEL_BITS = 48, 12

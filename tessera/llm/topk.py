@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import local_frame, map_arrow, table, written
+from tessera.llm.common import local_frame, map_arrow, table
+from tessera.operators.storage import written
 
 #: Vectors of a candidate block and of a query block; most blocks that the driver draws bounds for.
 BLOCK_ROWS, QUERY_ROWS, MOST_BLOCKS = 1 << 13, 1 << 10, 1 << 16
