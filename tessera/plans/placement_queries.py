@@ -29,22 +29,23 @@ def jump_repartition(spark, sf_dir):
     return dealt.repartition(4, "bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("keys"))
 
 
-@query(
-    "ring_lookup",
-    f"""
-WITH v AS (SELECT DISTINCT n_name AS node, n_name || i::VARCHAR AS name FROM nation, range({placement.REPLICAS}) AS t(i)),
+def _ring_sql(source: str, key: str) -> str:
+    """CTEs ``r`` (the ring of nations) and ``placed`` (``key, node``)."""
+    return f"""
+v AS (SELECT DISTINCT n_name AS node, n_name || i::VARCHAR AS name FROM nation, range({placement.REPLICAS}) AS t(i)),
 r AS (SELECT {sql.crc64("name")} AS point, max(node) AS node FROM v GROUP BY 1),
-k AS (SELECT c_name, {sql.crc64("c_name")} AS h FROM customer),
-f AS (SELECT k.c_name, r.node FROM k ASOF LEFT JOIN r ON k.h <= r.point)
-SELECT c_name, coalesce(node, (SELECT arg_min(node, point) FROM r)) AS node FROM f
-""",
-)
+k AS (SELECT {key}::VARCHAR AS key FROM {source}),
+h AS (SELECT key, {sql.crc64("key")} AS h FROM k),
+placed AS (SELECT h.key, coalesce(r.node, (SELECT arg_min(node, point) FROM r)) AS node FROM h ASOF LEFT JOIN r ON h.h <= r.point)"""
+
+
+@query("ring_lookup", f"WITH {_ring_sql('customer', 'c_name')} SELECT key AS c_name, node FROM placed")
 def ring_lookup(spark, sf_dir):
     lookup = placement.RingLookup(placement.ring(table(spark, sf_dir, "nation"), "n_name"))
     return table(spark, sf_dir, "customer").select("c_name", lookup.node_of("c_name").alias("node"))
 
 
-@query("ring_loads")
+@query("ring_loads", f"WITH {_ring_sql('orders', 'o_orderkey')} SELECT node, count(*)::BIGINT AS load FROM placed GROUP BY node")
 def ring_loads(spark, sf_dir):
     """Keys by node on the ring of nations."""
     lookup = placement.RingLookup(placement.ring(table(spark, sf_dir, "nation"), "n_name"))

@@ -117,7 +117,23 @@ def batch_count_or_time(spark, sf_dir):
     return folds.batches(table(spark, sf_dir, "events"), KEY, TS, ID, COUNT, TIMEOUT).select(KEY, ID, "batch")
 
 
-@query("circuit_breaker")
+# the state before an event (cur) follows from the state after the one before it and the time; two failures in a row trip
+@query(
+    "circuit_breaker",
+    """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL),
+s AS (
+  SELECT user_id, event_id, i, 'allowed' AS verdict, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failures, NULL::DOUBLE AS expiry FROM e WHERE i = 1
+  UNION ALL
+  SELECT user_id, event_id, i, CASE WHEN cur = 'open' THEN 'open' ELSE 'allowed' END,
+         CASE WHEN cur = 'open' THEN 'open' WHEN ok THEN 'closed' WHEN cur = 'half-open' OR failures + 1 >= 2 THEN 'open' ELSE 'closed' END,
+         CASE WHEN cur = 'open' OR ok OR cur = 'half-open' OR failures + 1 >= 2 THEN 0 ELSE failures + 1 END,
+         CASE WHEN cur = 'open' THEN expiry WHEN NOT ok AND (cur = 'half-open' OR failures + 1 >= 2) THEN t + 3600 END
+  FROM (SELECT e.*, s.failures, s.expiry, CASE WHEN s.state = 'open' AND s.expiry < e.t THEN 'half-open' ELSE s.state END AS cur
+        FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))
+SELECT user_id, event_id, verdict, state FROM s
+""",
+)
 def circuit_breaker(spark, sf_dir):
     from tessera.functions.transitions import BreakerRule
 
