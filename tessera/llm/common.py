@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,22 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def numbers(values: list, kind: str = "bigint") -> Column:
+    """A constant array, however long, as one literal."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def bucket_of(value: Column, bounds: list, kind: str = "bigint") -> Column:
+    """How many of the sorted bounds are at most the value, by two short scans (of about the root of their number) instead of a long one."""
+    if not bounds:
+        return F.lit(0)
+    group = isqrt(len(bounds)) + 1
+    tops = bounds[group - 1 :: group]
+    whole = F.size(F.filter(numbers(tops, kind), lambda x: x <= value)) if tops else F.lit(0)
+    inner = F.slice(numbers(bounds, kind), whole * group + 1, F.lit(group))
+    return (whole * group + F.size(F.filter(inner, lambda x: x <= value))).cast("int")
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

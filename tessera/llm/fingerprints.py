@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, table
+from tessera.llm.common import SPACES, bucket_of, numbers, table
 from tessera.llm.gray_index import tables
 
 #: Two counters of 32 bits in a long.
@@ -97,10 +97,6 @@ def share_a_table(a: Column, b: Column, radius: int) -> Column:
     return met & (F.bit_count(a.bitwiseXOR(b)) <= radius)
 
 
-def _numbers(values: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
 def in_order(docs: DataFrame) -> DataFrame:
     """``id, bucket, after, text``: documents in buckets of consecutive ids; the first row of each bucket is also put, with ``after`` = 1, behind the bucket before it (behind the last: the very first).
 
@@ -113,21 +109,15 @@ def in_order(docs: DataFrame) -> DataFrame:
     bounds: list[int] = []
     if n > 1:
         bounds = sorted(set(rows.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10 * n)).first()[0]))
-    bucket = F.lit(0)
-    if bounds:
-        group = int(len(bounds) ** 0.5) + 1
-        coarse = F.size(F.filter(_numbers(bounds[group - 1 :: group] or [1 << 62]), lambda x: x <= F.col("place")))
-        inner = F.slice(_numbers(bounds), coarse * group + 1, F.lit(group))
-        bucket = coarse * group + F.size(F.filter(inner, lambda x: x <= F.col("place")))
-    rows = rows.withColumn("bucket", bucket.cast("int"))
+    rows = rows.withColumn("bucket", bucket_of(F.col("place"), bounds).cast("int"))
     least = {r.bucket: r.least for r in rows.groupBy("bucket").agg(F.min("place").alias("least")).collect()}
     if not least:
         return rows.select("id", "place", "bucket", F.lit(0).alias("after"), "text")
     full = sorted(least)
     before = {b: full[i - 1] for i, b in enumerate(full)}
     top = full[-1] + 1
-    first = F.col("place") == F.element_at(_numbers([least.get(b, 0) for b in range(top)]), F.col("bucket") + 1)
-    earlier = F.element_at(_numbers([before.get(b, 0) for b in range(top)]), F.col("bucket") + 1).cast("int")
+    first = F.col("place") == F.element_at(numbers([least.get(b, 0) for b in range(top)]), F.col("bucket") + 1)
+    earlier = F.element_at(numbers([before.get(b, 0) for b in range(top)]), F.col("bucket") + 1).cast("int")
     own = F.struct(F.col("bucket"), F.lit(0).alias("after"))
     behind = F.struct(earlier.alias("bucket"), F.lit(1).alias("after"))
     spread = rows.select("id", "place", "text", F.explode(F.when(first, F.array(own, behind)).otherwise(F.array(own))).alias("at"))

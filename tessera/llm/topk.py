@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import local_frame, map_arrow, table
+from tessera.llm.common import bucket_of, map_arrow, numbers, table
 from tessera.operators.storage import written
 
 #: Vectors of a candidate block and of a query block; most blocks that the driver draws bounds for.
@@ -146,17 +146,16 @@ def top_k(embeddings: DataFrame, query: Column, k: int = 10, scale: int = 1024)
 
     n = rows.count()
     count = max(1, min(MOST_BLOCKS, -(-n // BLOCK_ROWS)))
-    bounds = sorted(set(rows.agg(F.percentile_approx("norm", [i / count for i in range(1, count)], 10 * count)).first()[0]), reverse=True) if count > 1 else []
-    edges = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
+    bounds = sorted(set(rows.agg(F.percentile_approx("norm", [i / count for i in range(1, count)], 10 * count)).first()[0])) if count > 1 else []
     # equal norms are spread over as many blocks as the whole table has: any norm may be shared by all rows
-    level = F.size(F.filter(edges, lambda x: x > F.col("norm"))) if bounds else F.lit(0)
+    level = F.lit(len(bounds)) - bucket_of(F.col("norm"), bounds, "double")
     heavy = {r.level: -(-r["count"] // BLOCK_ROWS) for r in rows.groupBy(level.alias("level")).count().collect()}
     starts, at = [], 0
     for i in range(len(bounds) + 1):
         starts.append((at, heavy.get(i, 1)))
         at += heavy.get(i, 1)
-    first = F.element_at(F.split(F.lit(",".join(str(s) for s, _ in starts)), ",").cast("array<bigint>"), level + 1)
-    spread = F.element_at(F.split(F.lit(",".join(str(m) for _, m in starts)), ",").cast("array<bigint>"), level + 1)
+    first = F.element_at(numbers([s for s, _ in starts]), level + 1)
+    spread = F.element_at(numbers([m for _, m in starts]), level + 1)
     placed = rows.withColumn("c", first + F.pmod(F.xxhash64("id"), spread))
     candidates = written(_pack(placed, d, "c"))
     asking = rows.filter(query).groupBy("id").agg(F.min(F.struct("v", "norm")).alias("r")).select("id", "r.v", "r.norm")
