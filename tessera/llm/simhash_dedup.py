@@ -18,7 +18,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, table
@@ -82,12 +82,12 @@ def hex64(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """The document that names each component; rows that repeat an id count as one document."""
-    kept = near_duplicates(docs, radius, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    from pyspark.sql import Window
-
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    packed = packed.join(kept, packed.id.eqNullSafe(kept.id), "left_semi")
-    first = F.row_number().over(Window.partitionBy("id").orderBy("h"))
+    # ids as text, null as the empty text: the join and the window then share one shuffle of the rows
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    found = near_duplicates(docs, radius, width)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name.alias("name")).distinct()
+    packed = docs.select(F.struct("*").alias("row"), name.alias("name"), F.xxhash64("text").alias("h")).join(kept, "name", "left_semi")
+    first = F.row_number().over(Window.partitionBy("name").orderBy("h"))
     return packed.withColumn("n", first).filter("n = 1").select("row.*")
 
 
