@@ -80,15 +80,29 @@ def hex64(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """The document that names each component; rows that repeat an id count as one document."""
+def survivors(docs: DataFrame, each: DataFrame, links: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component: the one of least id (nulls last), then of least text hash.
+
+    ``each`` has ``doc_id, h, fp`` for every row (``h`` hashes the text), ``links``
+    has ``a, b`` between fingerprints. Ids may be null or repeat: a row is known by
+    its id and its text, so no row goes that is not in the component of one that stays.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    firsts = each.groupBy("fp").agg(F.min(order).alias("first"))
+    roots = components(links).select(F.col("node").alias("fp"), "root")
+    least = firsts.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("part")).agg(F.min("first").alias("first"))
     # ids as text, null as the empty text: the join and the window then share one shuffle of the rows
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    found = near_duplicates(docs, radius, width)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name.alias("name")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), name.alias("name"), F.xxhash64("text").alias("h")).join(kept, "name", "left_semi")
-    first = F.row_number().over(Window.partitionBy("name").orderBy("h"))
-    return packed.withColumn("n", first).filter("n = 1").select("row.*")
+    kept = least.select(F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("name"), F.col("first.h").alias("h")).distinct()
+    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"), F.xxhash64("text").alias("h"))
+    one = F.row_number().over(Window.partitionBy("name", "h").orderBy("h"))
+    return packed.join(kept, ["name", "h"], "left_semi").withColumn("n", one).filter("n = 1").select("row.*")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """One row of each component, as ``survivors`` chooses it."""
+    known = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
+    each = written(fingerprints(known, width).select("doc_id.doc_id", "doc_id.h", "fp"))
+    return survivors(docs, each, hamming_links(each.select("fp").distinct(), radius))
 
 
 def op4_simhash_dedup(spark, sf_dir) -> DataFrame:

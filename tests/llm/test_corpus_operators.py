@@ -68,6 +68,16 @@ def test_near_duplicates(docs, doc_rows, none):
     assert simhash_dedup.keep_one(none).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(11)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(8)]
+    rows = [(None, t) for t in texts[:5]]  # different texts without an id
+    rows += [(1, texts[5]), (2, texts[5]), (2, texts[6]), (3, texts[7]), (3, texts[7]), (None, texts[7])]  # id 2 repeats with another text
+    kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(None, t) for t in texts[:5]] + [(1, texts[5]), (2, texts[6]), (3, texts[7])]
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(want)
+
+
 @MANY
 @given(st.lists(st.integers(0, (1 << 64) - 1), min_size=1, max_size=20), st.integers(0, 4), st.integers(0, 1 << 30))
 def test_link_group_joins_what_chains_join(base, radius, seed):
