@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import brown_lm, gray_index, line_dedup, mixing, packing, simhash_dedup, topk
+from tessera.llm import brown_lm, gray_index, line_dedup, mixing, packing, shingle_dedup, simhash_dedup, topk
 from tessera.llm.components import components
 from tessera.llm.langid import part
 
@@ -78,6 +78,47 @@ def test_one_row_of_each_component_stays(spark):
     assert Counter((r.doc_id, r.text) for r in kept) == Counter(want)
 
 
+def plain_shingles(text):
+    words = re.findall(WORD, low(text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_pipeline_drops_similar_texts(spark, docs, doc_rows, none):
+    rng = random.Random(12)
+    rows = list(doc_rows)
+    for i in range(60):  # a few changed words: far apart as SimHash of short texts
+        words = [str(rng.randrange(10**5)) for _ in range(rng.choice([8, 40, 90, 300]))]
+        for j in range(3):
+            rows.append((1000 + 3 * i + j if i % 7 else None, " ".join(words), "en", "s1", 1))
+            for _ in range(rng.randrange(1, 3)):
+                words[rng.randrange(len(words))] = rng.choice(["x", "Y", "zz"])
+    sets = [plain_shingles(r[1]) for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    parts = union_find(len(rows), links)
+    assert any(plain_simhash(rows[i][1]) ^ plain_simhash(rows[j][1]) and (plain_simhash(rows[i][1]) ^ plain_simhash(rows[j][1])).bit_count() > 3 for i, j in links)
+    key = docs.columns[:5]
+    kept = corpus_pipeline.STAGES[2][1](spark, spark.createDataFrame(rows, docs.select(*key).schema), "").collect()
+    by_row = {}
+    for r, p in zip(rows, parts):
+        by_row[r[0], r[1]] = p
+    got = Counter(by_row[r.doc_id, r.text] for r in kept)
+    assert got == Counter(set(parts))
+    least = {}
+    for r, p in zip(rows, parts):
+        least[p] = min((x for x in (least.get(p), r[0]) if x is not None), default=None)
+    assert all(least[by_row[r.doc_id, r.text]] == r.doc_id for r in kept)
+    assert shingle_dedup.keep_one_similar(none).count() == 0
+
+
+def test_link_sets_joins_what_chains_join():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        base = [np.unique(rng.integers(0, 60, 30)) for _ in range(4)]
+        sets = [np.unique(np.append(rng.permutation(b)[2:], rng.integers(0, 60, rng.integers(3)))).astype(np.uint64) for b in base for _ in range(10)]
+        pairs = [(i, j) for i in range(40) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        assert shingle_dedup.link_sets(sets, 0.8).tolist() == union_find(40, pairs)
+
+
 @MANY
 @given(st.lists(st.integers(0, (1 << 64) - 1), min_size=1, max_size=20), st.integers(0, 4), st.integers(0, 1 << 30))
 def test_link_group_joins_what_chains_join(base, radius, seed):
