@@ -15,6 +15,9 @@ import regex
 CACHE = 300_000
 #: The tokenizer's own way of cutting lower-cased text; fixed value.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What the tokenizer takes as white space: unlike str.split, not U+001C to U+001F.
+SPACE = re.compile(r"[^\S\x1c-\x1f]+")
+SEPARATOR = re.compile(r"[\x1c-\x1f]")
 #: Words of these characters only are cut here; all others go through the whole tokenizer.
 PLAIN = re.compile(r"[\x21-\x3b\x3d\x3f-\x7e\xa1-\xac\xae-\xff]+")
 
@@ -74,7 +77,9 @@ class WordTokens(dict):
     def ids(self, text: str | None) -> np.ndarray:
         if len(self) > CACHE:
             self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, (text or "").split())), "<u4")
+        text = text or ""
+        words = text.split() if SEPARATOR.search(text) is None else filter(None, SPACE.split(text))
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
 
 @lru_cache(maxsize=2)

@@ -266,6 +266,17 @@ def test_packing(docs, doc_rows, none, monkeypatch):
     assert pieces.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
 
 
+def test_words_are_cut_where_the_tokenizer_cuts():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    plain, ours = Tokenizer.from_file(path), packing.tokenizer(path)
+    odd = [*range(0x20), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
+    for c in map(chr, odd):
+        for text in (f"ab{c}cd", f"{c}ab {c} cd{c}", f"ab{c}\x1c\u2003{c}cd"):
+            assert ours.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_neighbours_share_terms():
     rng = np.random.default_rng(0)
     topics = [rng.choice(40_000, 60) for _ in range(5)]
