@@ -1,15 +1,20 @@
 """Lexical retrieval packing: documents that share rare terms go into the same training sequence.
 
-Documents are dealt by a hash of their id and text into shards of about
-SHARD_DOCS. Each shard is one BM25 inverted index over token ids. The next
+Document frequencies and the mean length are those of the whole table. Up to
+512 documents (of least hash) are leaders; a document's key names its nearest
+leader among the first 8, 32, 128 and 512 and then its most telling term.
+Documents are numbered in order of these keys and every SHARD_DOCS of them make
+a shard, so that documents that share terms meet in one shard however many
+shards there are. Each shard is one BM25 inverted index over token ids. The next
 unused document (or the rest of one that was cut) seeds a window; the index
 returns the unused documents nearest to it, which fill the window in that order
 until it is full. The document in which the window ends is cut there, and its
 rest seeds the next window. So every window is full and nothing is padded; what
 is left at a shard's end is cut into sequences of falling powers of two, which
 need no padding either. A task reads a shard as a stream: a shard that came out
-larger than SHARD_MOST documents (repeated rows) is packed in parts of that
-size, so memory stays bounded. The same rows always give the same sequences.
+larger than SHARD_MOST documents (only equal rows make it so) is packed in parts
+of that size, so memory stays bounded. What is broadcast: a number for each token
+id, the leaders' terms and two numbers a shard. The same rows always give the same sequences.
 
 Null and blank texts are documents of the end id alone. Ids may be null or
 repeat (repeated rows are packed each). Other columns are ignored; an empty
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,35 +34,50 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, table
 from tessera.llm.tokens import tokenizer
+from tessera.operators.ordering import numbered
+from tessera.operators.storage import new_path, remove, written
 
 WINDOW, END = 2048, 1
 SHARD_DOCS, SHARD_MOST = 1000, 4000
-#: Terms of a seed that ask the index, and BM25's constants.
-ASK, K1, B = 24, 1.2, 0.75
+#: Leaders among which the nearest one is named, level by level.
+LEVELS = (8, 32, 128, 512)
+#: BM25's constants.
+K1, B = 1.2, 0.75
 PIECES = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of a whole table: documents, their mean length, and in how many of them each id occurs."""
+
+    docs: int
+    mean: float
+    df: np.ndarray
+
+    def impacts(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray | float) -> np.ndarray:
+        df = self.df[term]
+        return np.log1p((self.docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Statistics:
+        terms = np.concatenate([np.unique(d) for d in docs])
+        return cls(len(docs), float(np.mean([len(d) for d in docs])), np.bincount(terms))
+
+
 class Index:
-    """BM25 over the token ids of a shard's documents."""
+    """BM25 over the token ids of a shard's documents, with the statistics of the whole table (of ``docs`` if none are given)."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], statistics: Statistics | None = None):
         unique = [np.unique(d, return_counts=True) for d in docs]
         sizes = np.array([len(d) for d in docs], float)
         owner = np.repeat(np.arange(len(docs)), [len(u) for u, _ in unique])
         term, tf = np.concatenate([u for u, _ in unique]), np.concatenate([c for _, c in unique]).astype(float)
         order = np.argsort(term, kind="stable")
         self.terms, start, df = np.unique(term[order], return_index=True, return_counts=True)
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        impact = idf[np.searchsorted(self.terms, term)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / sizes.mean()))
+        impact = (statistics or Statistics.of(docs)).impacts(term, tf, sizes[owner])
         self.start, self.end = start, start + df
         self.doc, self.impact = owner[order], impact[order]
-        first = np.concatenate([[0], np.cumsum([len(u) for u, _ in unique])])
-        # each document's most telling terms
-        self.ask = []
-        for i in range(len(docs)):
-            own = slice(first[i], first[i + 1])
-            best = np.argsort(-impact[own], kind="stable")[:ASK]
-            self.ask.append(np.searchsorted(self.terms, term[own][best]))
+        self.ask = [np.searchsorted(self.terms, u) for u, _ in unique]
 
     def nearest(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents by falling score; those that share nothing come last, in order."""
@@ -67,9 +88,9 @@ class Index:
         yield from np.flatnonzero(unused & (score <= 0))
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def pack(docs: list[np.ndarray], window: int = WINDOW, statistics: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length) over all ids of ``docs``."""
-    index = Index(docs)
+    index = Index(docs, statistics)
     unused = np.ones(len(docs), bool)
     following = 0
     out: list[list[tuple[int, int, int]]] = []
@@ -117,16 +138,87 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
     return out
 
 
-def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
-    """Batches of ``shard, doc_id, text`` sorted by shard."""
-    words = tokenizer(path)
+class Router:
+    """Keys of documents: their nearest leader on each level, then their most telling term."""
+
+    def __init__(self, leaders: list[np.ndarray], statistics: Statistics):
+        self.statistics = statistics
+        weights = [self._weights(d) for d in leaders]
+        self.row = np.full(len(statistics.df), -1, np.int64)
+        used = np.unique(np.concatenate([t for t, _ in weights]))
+        self.row[used] = np.arange(len(used))
+        self.table = np.zeros((len(used), len(leaders)), np.float32)
+        for i, (term, weight) in enumerate(weights):
+            self.table[self.row[term], i] = weight / np.linalg.norm(weight)
+
+    def _weights(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        term, tf = np.unique(doc, return_counts=True)
+        return term, self.statistics.impacts(term, tf, len(doc))
+
+    def key(self, doc: np.ndarray) -> int:
+        term, weight = self._weights(doc)
+        row = self.row[term]
+        near = weight[row >= 0].astype(np.float32) @ self.table[row[row >= 0]]
+        out = 0
+        for n in LEVELS:
+            out = (out << 9) | int(near[:n].argmax())
+        return (out << 24) | int(term[weight.argmax()])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """``doc_id, h, n, ids``: ids as bytes of ``_kind`` numbers."""
+    words, kind = tokenizer(path), _kind(path)
+    end = np.array([END], kind)
+    for batch in batches:
+        ids = [np.append(words.ids(t).astype(kind), end) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["doc_id", "h", "n", "ids"])
+
+
+def _kind(path: str) -> str:
+    return "<u2" if tokenizer(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    df = np.zeros(0, np.int64)
+    for batch in batches:
+        terms = [np.unique(np.frombuffer(i, kind)) for i in batch.column(0).to_pylist()]
+        if terms:
+            found = np.bincount(np.concatenate(terms), minlength=len(df))
+            found[: len(df)] += df
+            df = found
+    term = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], names=["term", "df"])
+
+
+def _routed(batches: Iterator[pa.RecordBatch], kind: str, shared) -> Iterator[pa.RecordBatch]:
+    leaders, statistics = shared.value
+    router = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        router = router or Router([np.frombuffer(i, kind) for i in leaders], statistics)
+        keys = [router.key(np.frombuffer(i, kind)) for i in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["doc_id", "h", "ids", "key"])
+
+
+def _sharded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The shard of each row: how many shards' first ``key, o`` are at most its own, less one."""
+    first = shared.value
+    for batch in batches:
+        own = np.rec.fromarrays([batch.column(i).to_numpy() for i in (3, 4)], dtype=first.dtype)
+        shard = np.searchsorted(first, own, side="right") - 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(shard, 0)), *batch.columns[:3], batch.column(3), batch.column(4)], names=["shard", "doc_id", "h", "ids", "key", "o"])
+
+
+def _pack_partition(batches: Iterator[pa.RecordBatch], token_kind: str, window: int, shared) -> Iterator[pa.RecordBatch]:
+    """Batches of ``shard, doc_id, ids`` sorted by shard."""
+    statistics = shared.value[1]
     shard, made, ids, tokens = None, 0, [], []
-    end = np.array([END], "<u4")
     kind = None
 
     def flush() -> pa.RecordBatch:
         nonlocal made
-        sequences = pack(tokens, window)
+        sequences = pack(tokens, window, statistics)
         rows = []
         for n, pieces in enumerate(sequences, made):
             offset = 0
@@ -140,27 +232,43 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int) -
 
     for batch in batches:
         kind = batch.column(1).type
-        for s, d, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for s, d, own in zip(*(c.to_pylist() for c in batch.columns)):
             if ids and (s != shard or len(ids) >= SHARD_MOST):
                 yield flush()
                 ids, tokens = [], []
             if s != shard:
                 shard, made = s, 0
             ids.append(d)
-            tokens.append(np.concatenate([words.ids(text), end]))
+            tokens.append(np.frombuffer(own, token_kind).astype("<u4"))
     if ids:
         yield flush()
 
 
 def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
     """A row per piece: where its ids lie in their document and in which sequence."""
-    shards = max(1, -(-docs.count() // SHARD_DOCS))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    own = F.xxhash64("text")
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", own), F.lit(shards)).alias("shard"), "doc_id", "text")
+    kind, context = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext
+    ids_kind = _kind(tokenizer_path)
+    path = new_path(docs.sparkSession, "tokens")
+    map_arrow(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), lambda b: _tokens(b, tokenizer_path), f"doc_id {kind}, h bigint, n bigint, ids binary").write.parquet(path)
+    tokens = docs.sparkSession.read.parquet(path)
+    count, total = tokens.agg(F.count(F.lit(1)), F.sum("n")).first()
+    df = np.zeros(1 << (8 * np.dtype(ids_kind).itemsize if ids_kind == "<u2" else 20), np.int64)
+    counted = map_arrow(tokens.select("ids"), lambda b: _term_counts(b, ids_kind), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    # leaders: different texts of least hash; only hashes are ordered, then the few texts are fetched
+    chosen = [r.h for r in tokens.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(LEVELS[-1]).collect()]
+    texts = {r.h: bytes(r.ids) for r in tokens.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("ids").alias("ids")).collect()} if chosen else {}
+    shared = context.broadcast(([texts[h] for h in chosen], Statistics(count, (total or 0) / max(1, count), df)))
+    routed = written(map_arrow(tokens.select("doc_id", "h", "ids"), lambda b: _routed(b, ids_kind, shared), f"doc_id {kind}, h bigint, ids binary, key bigint").withColumn("o", F.xxhash64("doc_id", "h")))
+    remove(docs.sparkSession, path)  # the routed table holds the ids now
+    order = routed.select("key", "o", F.monotonically_increasing_id().alias("row"))
+    first = numbered(order, ["key", "o", "row"]).filter(F.col("n") % SHARD_DOCS == 0).select("key", "o").distinct().orderBy("key", "o").toArrow()
+    starts = np.rec.fromarrays([c.to_numpy() for c in first.columns], dtype=[("key", "<i8"), ("o", "<i8")])
+    firsts = context.broadcast(starts)
+    dealt = map_arrow(routed, lambda b: _sharded(b, firsts), f"shard bigint, doc_id {kind}, h bigint, ids binary, key bigint, o bigint")
     # as many partitions as shards come near to, so that shards spread evenly
-    placed = dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
-    return map_arrow(placed, lambda b: _pack_partition(b, tokenizer_path, window), PIECES.format(kind=kind))
+    placed = dealt.repartition("shard").sortWithinPartitions("shard", "key", "o").select("shard", "doc_id", "ids")
+    return map_arrow(placed, lambda b: _pack_partition(b, ids_kind, window, shared), PIECES.format(kind=kind))
 
 
 def default_tokenizer() -> str:

@@ -266,6 +266,18 @@ def test_packing(docs, doc_rows, none, monkeypatch):
     assert pieces.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
 
 
+def test_neighbours_meet_in_one_shard(spark, monkeypatch):
+    rng = random.Random(13)
+    monkeypatch.setattr(packing, "SHARD_DOCS", 50)
+    topics = [[f"{w}{k}" for w in ("apple", "river", "stone", "music", "paper", "light", "horse", "cloud")] for k in rng.sample(range(1000, 9999), 8)]
+    rows = [(i, " ".join(rng.choice(topics[i % 8]) for _ in range(30))) for i in range(800)]
+    pieces = packing.packed(spark.createDataFrame(rows, "doc_id bigint, text string"), packing.default_tokenizer()).toPandas()
+    shards = pieces.assign(shard=pieces.sequence_id // (1 << 32), topic=pieces.doc_id % 8).drop_duplicates(["doc_id"])
+    assert shards.groupby("shard").size().tolist() == [50] * 16
+    # of a shard's documents most share one topic; dealt at random it would be about a quarter
+    assert shards.groupby("shard").topic.agg(lambda t: t.value_counts().iloc[0] / len(t)).mean() > 0.6
+
+
 def test_words_are_cut_where_the_tokenizer_cuts():
     from tokenizers import Tokenizer
 
