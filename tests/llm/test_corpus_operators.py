@@ -333,6 +333,20 @@ def test_class_model_is_a_distribution(spark):
     assert all(abs(by_class[k] + unknown[k] - 1) < 1e-9 for k in by_class)
 
 
+def test_core_is_full_where_words_tie(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "CORE", 3)
+    docs = spark.createDataFrame([(i, "a b c d e f") for i in range(4)], "doc_id int, text string")
+    model, _ = brown_lm.train(docs)
+    assert len(model.units.core) == 3
+    # no token is counted twice or lost: the six words and the unseen one of each class sum to one
+    words = brown_lm.Words()
+    words.ids([[w.encode() for w in "abcdef"]])
+    by_class = {}
+    for k in model.label[model.units.of(words)]:
+        by_class[k] = by_class.get(k, 0) + 4.1 / 10 ** model.emission[k]
+    assert all(abs(x + 0.1 / 10 ** model.emission[k] - 1) < 1e-9 for k, x in by_class.items())
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     counts = np.zeros((41, 41))
