@@ -363,8 +363,9 @@ def test_top_k(spark):
     rows = [(i, [rng.gauss(0, 1 + i % 3) for _ in range(12)], i) for i in range(300)]
     rows += [(300 + i, rows[i][1], 0) for i in range(20)]  # ties
     rows += [(400, None, 0), (500, [1.0, None], 0), (600, [1.0, math.nan], 0), (700, [math.inf] * 12, 0), (800, [], 0), (900, [2.0, -1.0], 0), (None, [1.0] * 12, 0), (10, rows[10][1], 0)]
+    rows += [(77, [0.5] * 12, 0)] * 200  # one id, one vector, more rows than a block
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, norm int").withColumn("c", F.lit("extra"))
-    sound = [(i, [math.floor(1024 * x) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    sound = [(i, [math.floor(1024 * x) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = {}
     for q, a in {i: v for i, v in sound if i % 100 == 0}.items():
         scored = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in sound if i != q))[:10]
@@ -377,8 +378,30 @@ def test_top_k(spark):
             for r in topk.top_k(df, F.col("id") % 100 == 0).collect():
                 got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
         assert {q: sorted(x) for q, x in got.items()} == want
+    assert 800 in want
     assert topk.top_k(df.filter("false"), F.col("id") % 100 == 0).count() == 0
     assert topk.top_k(df.filter("vec_id < 5"), F.col("id") % 100 == 0).count() == 4
+    assert [r.score for r in topk.top_k(df.filter("vec_id = 800 OR vec_id = 3"), F.col("id") % 100 == 0).collect()] == [0]
+
+
+def test_top_k_of_large_components(spark):
+    def rows(*vectors):
+        return spark.createDataFrame([(100 * i, list(v)) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+
+    asked = F.col("id") % 100 == 0
+    big = 2.0**40
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(rows((big, big, 1.0), (big, -big, 2.0)), asked).collect()}
+    assert got == {(0, 100): 2 << 20, (100, 0): 2 << 20}  # the two great products cancel
+    for bad in (((big, 1.0), (big, 1.0)), ((big, 1.0), (-big, 1.0)), ((2.0**60, 1.0), (1.0, 1.0)), ((3e300, 1.0), (1.0, 1.0))):
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            topk.top_k(rows(*bad), asked).collect()
+
+
+def test_block_pairs_out_of_reach_are_not_made(spark):
+    levels = [(0, 2, 9.0), (2, 0, 0.0), (2, 1, 5.0), (3, 3, 1.0)]
+    blocks = spark.createDataFrame([(0, 0.0), (1, 4.9), (2, 5.1), (3, 9.5)], "q bigint, reach double")
+    got = sorted((r.q, r.c) for r in topk.pairs_of_blocks(blocks, levels).collect())
+    assert got == [(0, c) for c in range(6)] + [(1, c) for c in range(3)] + [(2, 0), (2, 1)]
 
 
 def test_pipeline(spark, docs, tmp_path):
