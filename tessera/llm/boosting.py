@@ -93,11 +93,12 @@ def fit(rows: list[tuple[int, ...]], labels: list[bool], rounds: int = 30, depth
 
 
 def calibrated(scores: list[float], labels: list[bool], precision: float) -> float:
-    """The lowest score from which at least ``precision`` of held-out candidates are right; infinity if there is none."""
+    """The lowest threshold above which at least ``precision`` of held-out candidates are right, midway to the next lower score; infinity if there is none."""
     ranked = sorted(zip(scores, labels), reverse=True)
     best, right = float("inf"), 0
     for n, (s, y) in enumerate(ranked, 1):
         right += y
-        if (n == len(ranked) or ranked[n][0] < s) and right >= precision * n:
-            best = s
+        below = ranked[n][0] if n < len(ranked) else s
+        if (n == len(ranked) or below < s) and right >= precision * n:
+            best = (s + below) / 2
     return best
