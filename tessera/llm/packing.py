@@ -11,10 +11,11 @@ returns the unused documents nearest to it, which fill the window in that order
 until it is full. The document in which the window ends is cut there, and its
 rest seeds the next window. So every window is full and nothing is padded; what
 is left at a shard's end is cut into sequences of falling powers of two, which
-need no padding either. A task reads a shard as a stream: a shard that came out
-larger than SHARD_MOST documents (only equal rows make it so) is packed in parts
-of that size, so memory stays bounded. What is broadcast: a number for each token
-id, the leaders' terms and two numbers a shard. The same rows always give the same sequences.
+need no padding either. Consecutive shards make at most MOST_GROUPS groups; a
+task reads a group as a stream and holds one shard. A shard ends early
+at SHARD_TOKENS ids, so memory stays bounded. What is broadcast: a
+number for each token id, the leaders' terms and two numbers a group. The same
+table, read in the same order, always gives the same sequences.
 
 Null and blank texts are documents of the end id alone. Ids may be null or
 repeat (repeated rows are packed each). Other columns are ignored; an empty
@@ -38,9 +39,13 @@ from tessera.operators.ordering import numbered
 from tessera.operators.storage import new_path, remove, written
 
 WINDOW, END = 2048, 1
-SHARD_DOCS, SHARD_MOST = 1000, 4000
+SHARD_DOCS, SHARD_TOKENS = 2000, 1 << 23
+#: Runs of shards that are told apart when documents are dealt; bytes of ids of a task.
+MOST_GROUPS, TASK_BYTES = 1 << 16, 8 << 20
 #: Leaders among which the nearest one is named, level by level.
 LEVELS = (8, 32, 128, 512)
+#: A term in more than one of so many documents of a shard has a dense row.
+DENSE = 24
 #: BM25's constants.
 K1, B = 1.2, 0.75
 PIECES = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -65,24 +70,45 @@ class Statistics:
 
 
 class Index:
-    """BM25 over the token ids of a shard's documents, with the statistics of the whole table (of ``docs`` if none are given)."""
+    """BM25 over the token ids of a shard's documents, with the statistics of the whole table (of ``docs`` if none are given).
+
+    Terms that many documents hold have a dense row of impacts, the others a list of postings.
+    """
 
     def __init__(self, docs: list[np.ndarray], statistics: Statistics | None = None):
+        n = len(docs)
         unique = [np.unique(d, return_counts=True) for d in docs]
         sizes = np.array([len(d) for d in docs], float)
-        owner = np.repeat(np.arange(len(docs)), [len(u) for u, _ in unique])
+        owner = np.repeat(np.arange(n), [len(u) for u, _ in unique])
         term, tf = np.concatenate([u for u, _ in unique]), np.concatenate([c for _, c in unique]).astype(float)
+        impact = (statistics or Statistics.of(docs)).impacts(term, tf, sizes[owner]).astype(np.float32)
         order = np.argsort(term, kind="stable")
-        self.terms, start, df = np.unique(term[order], return_index=True, return_counts=True)
-        impact = (statistics or Statistics.of(docs)).impacts(term, tf, sizes[owner])
-        self.start, self.end = start, start + df
+        terms, first, df = np.unique(term[order], return_index=True, return_counts=True)
+        place = np.empty(len(term), np.int64)
+        place[order] = np.repeat(np.arange(len(terms)), df)
+        common = df * DENSE > n
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        dense = common[place]
+        self.dense = np.zeros((int(common.sum()), n), np.float32)
+        self.dense[self.row[place[dense]], owner[dense]] = impact[dense]
+        self.first, self.df = first, np.where(common, 0, df)
         self.doc, self.impact = owner[order], impact[order]
-        self.ask = [np.searchsorted(self.terms, u) for u, _ in unique]
+        edges = np.cumsum([0, *(len(u) for u, _ in unique)])
+        self.ask = [place[a:b] for a, b in zip(edges, edges[1:])]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Of every document for the seed's terms."""
+        ask = self.ask[seed]
+        rows = self.row[ask]
+        score = self.dense[rows[rows >= 0]].sum(axis=0)
+        size = self.df[ask]
+        ends = np.cumsum(size)
+        at = np.repeat(self.first[ask] - ends + size, size) + np.arange(ends[-1])
+        return score + np.bincount(self.doc[at], self.impact[at], len(score))
 
     def nearest(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents by falling score; those that share nothing come last, in order."""
-        lists = [slice(self.start[t], self.end[t]) for t in self.ask[seed]]
-        score = np.bincount(np.concatenate([self.doc[s] for s in lists]), np.concatenate([self.impact[s] for s in lists]), len(unused))
+        score = self.scores(seed)
         free = np.flatnonzero(unused & (score > 0))
         yield from free[np.argsort(-score[free], kind="stable")]
         yield from np.flatnonzero(unused & (score <= 0))
@@ -167,11 +193,14 @@ class Router:
 
 def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """``doc_id, h, n, ids``: ids as bytes of ``_kind`` numbers."""
-    words, kind = tokenizer(path), _kind(path)
-    end = np.array([END], kind)
+    words, kind = tokenizer(path), np.dtype(_kind(path))
     for batch in batches:
-        ids = [np.append(words.ids(t).astype(kind), end) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["doc_id", "h", "n", "ids"])
+        flat, start = words.of(batch.column(2))
+        flat, docs = flat.astype(kind), batch.num_rows
+        ends = np.insert(flat, start[1:], END)  # one end after each document
+        edges = (start + np.arange(docs + 1)) * kind.itemsize
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), docs, [None, pa.py_buffer(edges.astype("<i8")), pa.py_buffer(ends)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(start) + 1), ids.cast(pa.binary())], names=["doc_id", "h", "n", "ids"])
 
 
 def _kind(path: str) -> str:
@@ -201,19 +230,19 @@ def _routed(batches: Iterator[pa.RecordBatch], kind: str, shared) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["doc_id", "h", "ids", "key"])
 
 
-def _sharded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """The shard of each row: how many shards' first ``key, o`` are at most its own, less one."""
+def _grouped(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The group of each row, and its first ``key, o``: the last one that is at most the row's own."""
     first = shared.value
     for batch in batches:
         own = np.rec.fromarrays([batch.column(i).to_numpy() for i in (3, 4)], dtype=first.dtype)
-        shard = np.searchsorted(first, own, side="right") - 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(shard, 0)), *batch.columns[:3], batch.column(3), batch.column(4)], names=["shard", "doc_id", "h", "ids", "key", "o"])
+        group = np.maximum(np.searchsorted(first, own, side="right") - 1, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(group), *batch.columns[:3], batch.column(3), batch.column(4)], names=["shard", "doc_id", "h", "ids", "key", "o"])
 
 
 def _pack_partition(batches: Iterator[pa.RecordBatch], token_kind: str, window: int, shared) -> Iterator[pa.RecordBatch]:
-    """Batches of ``shard, doc_id, ids`` sorted by shard."""
+    """Batches of ``shard, doc_id, ids`` sorted by group (``shard``) and key: a shard for every ``SHARD_DOCS`` documents of a group."""
     statistics = shared.value[1]
-    shard, made, ids, tokens = None, 0, [], []
+    shard, made, ids, tokens, held = None, 0, [], [], 0
     kind = None
 
     def flush() -> pa.RecordBatch:
@@ -233,13 +262,14 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], token_kind: str, window:
     for batch in batches:
         kind = batch.column(1).type
         for s, d, own in zip(*(c.to_pylist() for c in batch.columns)):
-            if ids and (s != shard or len(ids) >= SHARD_MOST):
+            if ids and (s != shard or len(ids) >= SHARD_DOCS or held >= SHARD_TOKENS):
                 yield flush()
-                ids, tokens = [], []
+                ids, tokens, held = [], [], 0
             if s != shard:
                 shard, made = s, 0
             ids.append(d)
             tokens.append(np.frombuffer(own, token_kind).astype("<u4"))
+            held += len(tokens[-1])
     if ids:
         yield flush()
 
@@ -259,15 +289,18 @@ def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFr
     chosen = [r.h for r in tokens.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(LEVELS[-1]).collect()]
     texts = {r.h: bytes(r.ids) for r in tokens.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("ids").alias("ids")).collect()} if chosen else {}
     shared = context.broadcast(([texts[h] for h in chosen], Statistics(count, (total or 0) / max(1, count), df)))
-    routed = written(map_arrow(tokens.select("doc_id", "h", "ids"), lambda b: _routed(b, ids_kind, shared), f"doc_id {kind}, h bigint, ids binary, key bigint").withColumn("o", F.xxhash64("doc_id", "h")))
+    routed = written(map_arrow(tokens.select("doc_id", "h", "ids"), lambda b: _routed(b, ids_kind, shared), f"doc_id {kind}, h bigint, ids binary, key bigint").withColumn("o", F.xxhash64("doc_id", "h", F.monotonically_increasing_id())))
     remove(docs.sparkSession, path)  # the routed table holds the ids now
+    # a group is a whole number of shards, so where groups end changes no shard
+    each = SHARD_DOCS * max(1, -(-count // (SHARD_DOCS * MOST_GROUPS)))
     order = routed.select("key", "o", F.monotonically_increasing_id().alias("row"))
-    first = numbered(order, ["key", "o", "row"]).filter(F.col("n") % SHARD_DOCS == 0).select("key", "o").distinct().orderBy("key", "o").toArrow()
+    first = numbered(order, ["key", "o", "row"]).filter(F.col("n") % each == 0).select("key", "o").distinct().orderBy("key", "o").toArrow()
     starts = np.rec.fromarrays([c.to_numpy() for c in first.columns], dtype=[("key", "<i8"), ("o", "<i8")])
     firsts = context.broadcast(starts)
-    dealt = map_arrow(routed, lambda b: _sharded(b, firsts), f"shard bigint, doc_id {kind}, h bigint, ids binary, key bigint, o bigint")
-    # as many partitions as shards come near to, so that shards spread evenly
-    placed = dealt.repartition("shard").sortWithinPartitions("shard", "key", "o").select("shard", "doc_id", "ids")
+    dealt = map_arrow(routed, lambda b: _grouped(b, firsts), f"shard bigint, doc_id {kind}, h bigint, ids binary, key bigint, o bigint")
+    size = (total or 0) * np.dtype(ids_kind).itemsize
+    parts = max(1, min(len(starts), int(-(-size // TASK_BYTES)), MOST_GROUPS))
+    placed = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "key", "o").select("shard", "doc_id", "ids")
     return map_arrow(placed, lambda b: _pack_partition(b, ids_kind, window, shared), PIECES.format(kind=kind))
 
 

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import re
 import sys
 from array import array
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Words, and pieces of words, that a process remembers.
-CACHE = 300_000
+#: Words, and pieces of words, that a process remembers: a generation of each, and the one before.
+CACHE = 200_000
 #: The tokenizer's own way of cutting lower-cased text; fixed value.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: What the tokenizer takes as white space: unlike str.split, not U+001C to U+001F.
-SPACE = re.compile(r"[^\S\x1c-\x1f]+")
-SEPARATOR = re.compile(r"[\x1c-\x1f]")
 #: Words of these characters only are cut here; all others go through the whole tokenizer.
-PLAIN = re.compile(r"[\x21-\x3b\x3d\x3f-\x7e\xa1-\xac\xae-\xff]+")
+PLAIN = regex.compile(r"[\x21-\x3b\x3d\x3f-\x7e\xa1-\xac\xae-\xff]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -36,11 +33,31 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-class WordTokens(dict):
-    """Little-endian 32-bit ids of a word without white space, as bytes, by its text.
+class Recent(dict):
+    """The last CACHE entries or more, twice as many at most: what is asked for again moves to the newer half."""
+
+    def __init__(self):
+        self.older: dict[str, bytes] = {}
+
+    def recall(self, key: str) -> bytes | None:
+        found = self.older.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+
+
+class WordTokens:
+    """Little-endian 32-bit ids of words without ASCII white space, as bytes.
 
     Only for tokenizers that cut at white space and lower-case their input, as
     word_bpe_49k does: the ids of a text are then those of its words in a row.
+    Texts are cut at ASCII white space; a word that holds other white space, or
+    anything unusual, goes through the tokenizer itself, which cuts it further.
     """
 
     def __init__(self, path: str):
@@ -48,19 +65,20 @@ class WordTokens(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_letters()
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(), Recent()
+        self.words[""] = b""
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        found = self.pieces.get(piece) or self.pieces.recall(piece)
         if found is None:
             mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            found = _packed([t.id for t in self.tokenizer.model.tokenize(mapped)])
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            self.pieces[piece] = found
+            self.pieces[piece] = found = _packed([t.id for t in self.tokenizer.model.tokenize(mapped)])
         return found
 
-    def __missing__(self, word: str) -> bytes:
+    def _word(self, word: str) -> bytes:
+        found = self.words.recall(word)
+        if found is not None:
+            return found
         if PLAIN.fullmatch(word):
             low = word.lower()
             if low.isalpha():
@@ -71,22 +89,33 @@ class WordTokens(dict):
                 found = b"".join(map(self._piece, PIECE.findall(low)))
         else:
             found = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        self[word] = found
+        self.words[word] = found
         return found
 
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (null: none), and where each text starts in them, with the end last. Each different word is looked up once."""
+        cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = cut.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        self.words.trim()
+        self.pieces.trim()
+        get, word = self.words.get, self._word
+        found = [x if x is not None else word(w) for w, x in zip(different, map(get, different))]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        first = np.cumsum(size) - size
+        code = coded.indices.to_numpy()
+        sizes = size[code]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        out = ids[np.repeat(first[code] - ends + sizes, sizes) + np.arange(total)]
+        offsets = cut.offsets.to_numpy()
+        return out, np.append(0, ends)[offsets - offsets[0]]
+
     def ids(self, text: str | None) -> np.ndarray:
-        if len(self) > CACHE:
-            self.clear()
-        text = text or ""
-        words = text.split() if SEPARATOR.search(text) is None else filter(None, SPACE.split(text))
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+        return self.of(pa.array([text], pa.string()))[0]
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokens:
     return WordTokens(path)
-
-
-def all_ids(texts: Iterable[str | None], path: str) -> list[np.ndarray]:
-    found = tokenizer(path)
-    return [found.ids(t) for t in texts]

@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -287,6 +288,28 @@ def test_words_are_cut_where_the_tokenizer_cuts():
     for c in map(chr, odd):
         for text in (f"ab{c}cd", f"{c}ab {c} cd{c}", f"ab{c}\x1c\u2003{c}cd"):
             assert ours.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids, ascii(text)
+    every = [t for c in range(0x10000) if not 0xD800 <= c < 0xE000 for t in (chr(c), f"Ab{chr(c)}cD")]
+    ids, start = ours.of(pa.array(every))
+    for text, a, b in zip(every, start, start[1:]):
+        assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_ranking_is_bm25():
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.zipf(1.3, rng.integers(1, 80)) % 400, 1).astype("<u4") for _ in range(120)]
+    docs += [docs[0], docs[1][:1]]
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    index = packing.Index(docs)
+    assert len(index.dense) and (index.df > 0).any()
+    for seed in (0, 7, 121):
+        want = []
+        for d in docs:
+            tf = Counter(d.tolist())
+            want.append(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(docs[seed].tolist()) if t in tf))
+        assert np.allclose(index.scores(seed), want, rtol=1e-5)
+        near = list(index.nearest(seed, np.ones(n, bool)))
+        assert sorted(near) == list(range(n)) and all(want[a] >= want[b] - 1e-4 for a, b in zip(near, near[1:]))
 
 
 def test_neighbours_share_terms():
