@@ -16,7 +16,11 @@ The join runs on hashes in two passes, and no step emits all pairs of a group:
    the line and the key under which it has a possible partner.
 2. Only those rows get their text. Within a key, lines are taken in order of
    first occurrence, and each is verified by banded bit-parallel edit distance
-   against possible earlier partners, nearest signature first, until one links.
+   against possible earlier partners until one links. A key of more than MANY
+   lines goes without the signatures; what all its lines begin and end with is
+   taken off (which changes no distance), and what is left is cut into segments
+   again, so a very common passage with a varying rest costs a few rows a line
+   and not its pairs.
 
 A line is a repeat when the same line, or one that links to it, occurs earlier
 in order of (doc_id, line number). Lines shorter than ``min_length`` repeat by
@@ -35,15 +39,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, table
+from tessera.llm.common import let, map_arrow, table
 from tessera.operators.storage import written
 
 THRESHOLD, MIN_LENGTH, EXACT_LENGTH = 2, 30, 20
-#: Rows of a key whose signatures are compared at once.
-TILE = 2048
+#: Rows of a key whose signatures are compared; a key of more is cut into segments again, this often at most.
+MANY, DEPTH = 2048, 4
+#: Lines that are compared one by one; symbols that are compared at once.
+FEW, AT_ONCE = 24, 1 << 21
 #: 64-bit words of the filter that tells which lines need their text: 16 MB whatever the input.
 FILTER_WORDS = 1 << 21
 #: Line hashes that a task remembers.
@@ -122,6 +128,112 @@ def edit_distance_within(a: str, b: str, k: int) -> int | None:
     return None
 
 
+def within_many(a: str, others: list[str], k: int) -> np.ndarray:
+    """For each other string whether its edit distance to ``a`` is at most k: the rows of :func:`edit_distance_within` for all at once."""
+    n, size = len(a), np.array([len(b) for b in others])
+    out = np.abs(size - n) <= k
+    at = np.flatnonzero(out)
+    if not len(at) or not n:
+        return out
+    size = size[at]
+    wide = n + 3 * k
+    codes = np.full((len(at), wide), -1, np.int32)
+    inner = np.arange(wide)[None, :] - k
+    codes[(inner >= 0) & (inner < size[:, None])] = np.frombuffer("".join(others[i] for i in at).encode("utf-32-le", "surrogatepass"), np.int32)
+    own = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.int32)
+    same, kind = np.zeros((n, len(at)), np.uint32), np.uint32
+    for d in range(2 * k + 1):
+        same |= (codes[:, d : d + n] == own).T.astype(kind) << kind(d)
+    full = kind((1 << (2 * k + 1)) - 1)
+    reach = [np.full(len(at), 1 << k, kind), *(np.zeros(len(at), kind) for _ in range(k))]
+
+    def spread(e: list[np.ndarray]) -> list[np.ndarray]:
+        for d in range(1, k + 1):
+            e[d] |= e[d - 1] | (e[d - 1] << kind(1)) & full
+        return e
+
+    reach = spread(reach)
+    places = np.arange(2 * k + 1) - k
+    for x in range(n):
+        new = [reach[0] & same[x]]
+        for e in range(1, k + 1):
+            new.append((reach[e] & same[x]) | reach[e - 1] | (reach[e - 1] >> kind(1)))
+        if x + 1 <= k or x + 1 + k >= n - k:  # near the ends of the shorter strings some diagonals do not exist
+            inside = (((places + x + 1 >= 0)[None, :] & (places[None, :] + x + 1 <= size[:, None])).astype(kind) << np.arange(2 * k + 1, dtype=kind)).sum(axis=1, dtype=kind)
+            reach = [r & inside for r in spread([r & inside for r in new])]
+        else:
+            reach = spread(new)
+        if not reach[k].any():
+            break
+    out[at] = reach[k] >> (size - n + k).astype(kind) & kind(1) != 0
+    return out
+
+
+def _common(lines: list[str]) -> tuple[int, int]:
+    """How many symbols all lines begin with, and end with after those."""
+
+    def shared(a: str, b: str) -> int:
+        n = min(len(a), len(b))
+        return next((i for i in range(n) if a[i] != b[i]), n)
+
+    first = shared(min(lines), max(lines))
+    turned = [x[::-1] for x in lines]
+    return first, min(shared(min(turned), max(turned)), min(map(len, lines)) - first)
+
+
+def _plan(n: int, threshold: int, least: int) -> tuple[list, list]:
+    """(length, segment, its length, start) under which a line of n symbols is found, and under which it seeks others."""
+    index = [(n, i, size, p) for i, (p, size) in enumerate(segments(n, threshold))]
+    probes = [(n - d, i, size, p) for d in range(threshold + 1) if n - d >= least for i, size, low, high in windows(n, n - d, threshold) for p in range(low, high + 1)]
+    return index, [x for x in probes if x not in set(index)]
+
+
+def mark_links(lines: list[str], threshold: int, linked: np.ndarray, rows: np.ndarray, depth: int = DEPTH) -> None:
+    """Sets ``linked`` at each of ``rows`` (ascending; ``lines`` are theirs, all different) that links to an earlier one."""
+    n = len(lines)
+    if n < 2 or linked[rows[1:]].all():
+        return
+    if n > FEW and depth:
+        first, last = _common(lines)
+        lines = [x[first : len(x) - last] for x in lines]
+        if max(map(len, lines)) <= threshold:
+            linked[rows[1:]] = True
+            return
+        plans: dict[int, tuple[list, list]] = {}
+        met: dict[tuple, list[int]] = {}
+        short = min(map(len, lines)) <= threshold
+        for i, x in enumerate(lines):
+            size = len(x)
+            if short and size <= 2 * threshold:
+                met.setdefault((), []).append(i)
+            if size > threshold:
+                if size not in plans:
+                    plans[size] = _plan(size, threshold, threshold + 1)
+                for items in plans[size]:
+                    for length, number, wide, p in items:
+                        met.setdefault((length, number, x[p : p + wide]), []).append(i)
+        for own in met.values():
+            own = sorted(set(own))
+            if len(own) > 1:
+                mark_links([lines[i] for i in own], threshold, linked, rows[own], depth - 1 if len(own) < n else 0)
+        return
+    sig = np.array([signature(x) for x in lines], np.uint64)
+    for i in range(1, n):
+        if linked[rows[i]]:
+            continue
+        distance = np.bitwise_count(sig[:i] ^ sig[i])
+        near = np.flatnonzero(distance <= 2 * threshold)
+        near = near[np.argsort(distance[near], kind="stable")]
+        if n <= FEW:
+            linked[rows[i]] = any(edit_distance_within(lines[i], lines[j], threshold) is not None for j in near)
+            continue
+        at, some = 0, 32
+        while at < len(near) and not linked[rows[i]]:
+            linked[rows[i]] = within_many(lines[i], [lines[j] for j in near[at : at + some]], threshold).any()
+            at += some
+            some = max(1, min(2 * some, AT_ONCE // max(1, len(lines[i]))))
+
+
 def signature(line: str) -> int:
     """Parities of the symbols, in 64 buckets."""
     out = 0
@@ -163,16 +275,6 @@ def _texts(batches: Iterator[pa.RecordBatch], least: int, bits: np.ndarray) -> I
 def _keys(batches: Iterator[pa.RecordBatch], threshold: int, least: int) -> Iterator[pa.RecordBatch]:
     """``key, h, sig`` of the segments and substrings of each batch's distinct lines. The lowest bits of h say whether the row is in the index, probes, or both."""
     seen: dict[int, tuple[list, list]] = {}
-
-    def plan(n: int) -> tuple[list, list]:
-        if n not in seen:
-            index = [(i, p, size) for i, (p, size) in enumerate(segments(n, threshold))]
-            probes = [(n - d, i, size, p) for d in range(threshold + 1) if n - d >= least for i, size, low, high in windows(n, n - d, threshold) for p in range(low, high + 1)]
-            own = {(n, i, size, p) for i, p, size in index}
-            both = [(n, i, size, p) for i, p, size in index]
-            seen[n] = both, [x for x in probes if x not in own]
-        return seen[n]
-
     digest = xxhash.xxh3_64_intdigest
     sent: set[int] = set()  # lines that this task has sent; forgetting some only costs repeated rows
     for batch in batches:
@@ -184,7 +286,9 @@ def _keys(batches: Iterator[pa.RecordBatch], threshold: int, least: int) -> Iter
                 continue
             sent.add(own)
             s = signature(line)
-            index, probes = plan(len(line))
+            if len(line) not in seen:
+                seen[len(line)] = _plan(len(line), threshold, least)
+            index, probes = seen[len(line)]
             for r, items in ((3, index), (1, probes)):
                 for length, i, size, p in items:
                     key.append(digest(line[p : p + size].encode("utf-8", "surrogatepass"), length * 8 + i))
@@ -228,17 +332,13 @@ def _possible(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.
         for s, e in zip(start[many], end[many]):
             if (h[s:e] == h[s]).all():
                 continue
-            order = s + np.argsort(sig[s:e], kind="stable")
-            for i in range(0, e - s, TILE):
-                a = order[i : i + TILE]
-                for j in range(i, e - s, TILE):
-                    b = order[j : j + TILE]
-                    if keep[a].all() and keep[b].all():
-                        continue
-                    near = np.bitwise_count(sig[a][:, None] ^ sig[b][None, :]) <= 2 * threshold
-                    near &= (h[a][:, None] != h[b][None, :]) & ((role[a] & 2 != 0)[:, None] | (role[b] & 2 != 0)[None, :])
-                    keep[a[near.any(axis=1)]] = True
-                    keep[b[near.any(axis=0)]] = True
+            if e - s > MANY:
+                keep[s:e] = True
+                continue
+            own = slice(s, e)
+            near = np.bitwise_count(sig[own][:, None] ^ sig[own][None, :]) <= 2 * threshold
+            near &= (h[own][:, None] != h[own][None, :]) & ((role[own] & 2 != 0)[:, None] | (role[own] & 2 != 0)[None, :])
+            keep[own] = near.any(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(at[keep]), pa.array(h[keep])], names=["at", "h"])
 
 
@@ -246,18 +346,12 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
     """From rows sorted by key and first occurrence: the hashes of lines that link to an earlier one."""
     for rows in _groups(batches, ["at", "place", "h", "text"]):
         at, h, text = rows["at"], rows["h"], rows["text"]
-        sig = np.array([signature(t) for t in text], np.uint64)
         start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        found = []
+        linked = np.zeros(len(at), bool)
         for s, e in zip(start, np.append(start[1:], len(at))):
-            for i in range(s + 1, e):
-                distance = np.bitwise_count(sig[s:i] ^ sig[i])
-                order = np.argsort(distance, kind="stable")
-                for j in s + order[: np.searchsorted(distance[order], 2 * threshold, side="right")]:
-                    if h[j] != h[i] and edit_distance_within(text[i], text[j], threshold) is not None:
-                        found.append(h[i])
-                        break
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
+            own = s + np.sort(np.unique(h[s:e], return_index=True)[1])
+            mark_links(text[own].tolist(), threshold, linked, own)
+        yield pa.RecordBatch.from_arrays([pa.array(h[linked])], names=["h"])
 
 
 def _filter_bits(hashes: DataFrame) -> np.ndarray:
@@ -303,9 +397,11 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, min_length: int
     gone = gone.select(F.col("doc_id").alias("id"), "doc_key", "lines")
     packed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("key"))
     joined = packed.join(gone, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("doc_key")), "left")
-    lines = F.split("row.text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("lines", i))
-    clean = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    def without(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "lines")
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    clean = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(let(F.split("row.text", "\n"), without))
     return joined.select("row", clean.alias("clean"), F.coalesce(F.size("lines"), F.lit(0)).alias("removed"))
 
 

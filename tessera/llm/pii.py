@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.boosting import calibrated, fit
-from tessera.llm.common import table
+from tessera.llm.common import let, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns. A run is entered at its start only, or where the last match ended, and never given back.
@@ -64,11 +64,6 @@ RUN, PIECE = 128, 1024
 REACH = 4 * 560 // 8
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def running(values: Column, join: Callable[[Column, Column], Column], levels: int = 2) -> Column:
     """Running sums (or maxima, as ``join`` says) of an array of integers. A fold copies its list at each step, so it runs over chunks of RUN, whose totals are run in the same way."""
     none = F.array().cast("array<int>")

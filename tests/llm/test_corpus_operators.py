@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -176,6 +177,7 @@ def test_edit_distance_and_windows(a, edits, k):
         b = b[:at] + b[at + 1 :] if c == "-" else b[:at] + c + b[at + (at % 2) :]
     d = levenshtein(a, b)
     assert line_dedup.edit_distance_within(a, b, k) == (d if d <= k else None)
+    assert line_dedup.within_many(a, [b, a, b + "xy", b[1:]], k).tolist() == [levenshtein(a, x) <= k for x in (b, a, b + "xy", b[1:])]
     if d <= k:
         assert (line_dedup.signature(a) ^ line_dedup.signature(b)).bit_count() <= 2 * k
         long, short = (a, b) if len(a) >= len(b) else (b, a)
@@ -214,6 +216,43 @@ def test_line_dedup(spark, docs, doc_rows, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_links_in_large_groups():
+    rng = random.Random(14)
+    made = {"dense": lambda: f"the same old passage {rng.randrange(3000)} and its end", "sparse": lambda: f"the same old passage {rng.randrange(10**7):07d} and its end", "two": lambda: rng.choice(("", "before ")) + f"passage {rng.randrange(40)} of {rng.randrange(10**5)}"}
+    for name, make in made.items():
+        lines = list(dict.fromkeys(make() for _ in range(400)))
+        linked = np.zeros(len(lines), bool)
+        line_dedup.mark_links(lines, 2, linked, np.arange(len(lines)))
+        want = [any(abs(len(x) - len(y)) <= 2 and levenshtein(x, y) <= 2 for y in lines[:i]) for i, x in enumerate(lines)]
+        assert linked.tolist() == want and any(want), name
+
+
+def test_common_passages_take_linear_time():
+    rng = random.Random(15)
+    took = []
+    for n in (2_000, 8_000):
+        lines = list(dict.fromkeys(f"a passage that everybody copies, number {rng.randrange(10**12):012d}, and so on" for _ in range(n)))
+        linked = np.zeros(len(lines), bool)
+        began = time.time()
+        line_dedup.mark_links(lines, 2, linked, np.arange(len(lines)))
+        took.append(time.time() - began)
+    assert took[1] < 6 * took[0] + 0.5, took
+
+
+def test_lines_of_one_document_take_linear_time(spark):
+    def seconds(n):
+        text = "\n".join(f"a line of many words that comes again {i % 7}" for i in range(n))
+        df = spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string")
+        began = time.time()
+        rows = {r.row.doc_id: r for r in line_dedup.without_repeats(df).collect()}
+        assert rows[1].removed == n - 1 and rows[1].clean == text.split("\n")[0] and rows[2].clean is None
+        return time.time() - began
+
+    seconds(1_000)
+    short, long = seconds(20_000), seconds(80_000)
+    assert long < 4 * short + 1, (short, long)
+
+
 def test_mixing(docs, doc_rows, none):
     frame = pd.DataFrame(doc_rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64"})
     connection = duckdb.connect()
