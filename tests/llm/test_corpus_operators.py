@@ -363,7 +363,7 @@ def test_neighbours_share_terms():
 
 
 def test_class_language_model(docs, doc_rows, none, monkeypatch):
-    monkeypatch.setattr(brown_lm, "HEAD", 300)
+    monkeypatch.setattr(brown_lm, "CLASSED", 300)
     monkeypatch.setattr(brown_lm, "CORE", 50)
     held = F.coalesce(part(F.col("doc_id"), 10) == 0, F.lit(False))
     rows = docs.withColumn("held_out", held)
@@ -395,6 +395,70 @@ def test_class_model_is_a_distribution(spark):
     assert all(abs(by_class[k] + unknown[k] - 1) < 1e-9 for k in by_class)
 
 
+def test_scores_and_classes_by_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "CORE", 12)
+    monkeypatch.setattr(brown_lm, "CLASSES", 6)
+    monkeypatch.setattr(brown_lm, "CLASSED", 60)
+    rng = random.Random(16)
+    words = [f"{c}{i}" for c in "abcde" for i in range(20)]
+    texts = [" ".join(words[(rng.randrange(20) if rng.random() < 0.3 else min(19, int(rng.expovariate(0.4)))) + 20 * ((j + i) % 5)] for j in range(rng.randrange(12))) for i in range(150)]
+    docs = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in enumerate(texts)], "doc_id int, text string, held_out boolean").repartition(3)
+    training = docs.filter("NOT held_out")
+    model, counts = brown_lm.train(training)
+    table = brown_lm.Words()
+    table.ids([[w.encode() for w in words]])
+    first = dict(zip(words, model.label[model.units.of(table)].tolist()))
+    final = dict(zip(words, model.classes(table).tolist()))
+    seen = [t.split() for i, t in enumerate(texts) if i % 5]
+    c, end, k = Counter(w for t in seen for w in t), int(model.label[model.units.end]), len(model.emission)
+    assert {r.h: r.c for r in counts.collect()} == {h: c[w] for h, w in zip(table.h.tolist(), words) if c[w]}
+
+    def joint(of):
+        out = np.zeros((k, k))
+        for t in seen:
+            row = [end, *(of[w] for w in t), end]
+            for a, b in zip(row, row[1:]):
+                out[a, b] += 1
+        return out
+
+    before = joint(first)
+    core = set(model.units.core.tolist())
+    chosen = 0
+    for w, h in zip(words, table.h.tolist()):
+        if h in core or c[w] < brown_lm.OWN or h not in set(model.head.tolist()):
+            assert final[w] == first[w]
+            continue
+        gain = np.full(k, 0.0)
+        for t in seen:
+            row = [end, *(first[x] for x in t), end]
+            for i, x in enumerate(t, 1):
+                if x == w:
+                    to = np.log((before + 0.1) / (before.sum(1, keepdims=True) + 0.1 * k))
+                    gain += to[row[i - 1]] + to[:, row[i + 1]] - np.log(before.sum(0) + 0.1)
+        gain[0] = -np.inf
+        assert gain[final[w]] > gain.max() - 1e-6
+        chosen += 1
+    assert chosen > 10
+    after = joint(final)
+    share = (after.sum(0) + 0.1) / (after.sum() + 0.1 * k)
+    assert np.allclose(10**model.transition, (after + 5 * share) / (after.sum(1, keepdims=True) + 5))
+    size = [sum(c[w] for w in words if final[w] == x) + 0.1 * (sum(c[w] > 0 for w in words if final[w] == x) + 1) for x in range(k)]
+    assert np.allclose(10**model.emission, size)
+    got = {r.doc_id: r.score for r in brown_lm.score_documents(docs, training).collect()}
+    for i, t in enumerate(texts):
+        row = [end, *(final[w] for w in t.split()), end]
+        want = sum(model.transition[a, b] for a, b in zip(row, row[1:])) + sum(math.log10((c[w] + 0.1) / size[final[w]]) for w in t.split())
+        assert math.isclose(got[i], want, abs_tol=1e-6), i
+
+
+def test_equally_frequent_words_are_classed(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{2 * j + x} v{2 * j + 1 - x}" for j in range(i % 5, 750, 5) for x in (0, 1))) for i in range(25)], "doc_id int, text string")
+    model, _ = brown_lm.train(docs)
+    assert len(model.units.core) == brown_lm.CORE and len(model.head) == 3000
+    monkey = brown_lm._frequent(spark.createDataFrame([(i, 5) for i in range(4000)], "h bigint, c bigint"), {5: 4000}, 1000).count()
+    assert 800 < monkey <= 1100
+
+
 def test_core_is_full_where_words_tie(spark, monkeypatch):
     monkeypatch.setattr(brown_lm, "CORE", 3)
     docs = spark.createDataFrame([(i, "a b c d e f") for i in range(4)], "doc_id int, text string")
