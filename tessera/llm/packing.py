@@ -46,6 +46,10 @@ MOST_GROUPS, TASK_BYTES = 1 << 16, 8 << 20
 LEVELS = (8, 32, 128, 512)
 #: A term in more than one of so many documents of a shard has a dense row.
 DENSE = 24
+#: Neighbours that are put in order first.
+FIRST = 32
+#: Bytes of text that are cut into words at once, and rows of a batch of ids.
+TOKENIZED_BYTES, ROWS_AT_ONCE = 16 << 20, 2048
 #: BM25's constants.
 K1, B = 1.2, 0.75
 PIECES = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -110,7 +114,13 @@ class Index:
         """Unused documents by falling score; those that share nothing come last, in order."""
         score = self.scores(seed)
         free = np.flatnonzero(unused & (score > 0))
-        yield from free[np.argsort(-score[free], kind="stable")]
+        own, given = -score[free], 0
+        if len(own) > 4 * FIRST:  # a window seldom takes more than the first few
+            best = np.flatnonzero(own < np.partition(own, FIRST)[FIRST])
+            best = best[np.argsort(own[best], kind="stable")]
+            given = len(best)
+            yield from free[best]
+        yield from free[np.argsort(own, kind="stable")[given:]]
         yield from np.flatnonzero(unused & (score <= 0))
 
 
@@ -191,29 +201,57 @@ class Router:
         return (out << 24) | int(term[weight.argmax()])
 
 
+def _some(batches: Iterator[pa.RecordBatch], size: int = TOKENIZED_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes: what a batch repeats is looked up once."""
+    held, now = [], 0
+    for batch in batches:
+        held.append(batch)
+        now += batch.nbytes
+        if now >= size:
+            yield pa.concat_batches(held)
+            held, now = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """``doc_id, h, n, ids``: ids as bytes of ``_kind`` numbers."""
+    """``doc_id, h, n, ids``: ids as bytes of ``_kind`` numbers. At the end a row of ``n`` = -1 with the number of documents that hold each id, as 64-bit numbers."""
     words, kind = tokenizer(path), np.dtype(_kind(path))
-    for batch in batches:
+    df, id_type = np.zeros(0, np.int64), None
+    for batch in _some(batches):
+        if not batch.num_rows:
+            continue
+        id_type = batch.column(0).type
         flat, start = words.of(batch.column(2))
         flat, docs = flat.astype(kind), batch.num_rows
         ends = np.insert(flat, start[1:], END)  # one end after each document
-        edges = (start + np.arange(docs + 1)) * kind.itemsize
-        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), docs, [None, pa.py_buffer(edges.astype("<i8")), pa.py_buffer(ends)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(start) + 1), ids.cast(pa.binary())], names=["doc_id", "h", "n", "ids"])
+        edges = start + np.arange(docs + 1)
+        terms = np.concatenate([np.unique(ends[a:b]) for a, b in zip(edges, edges[1:])])
+        found = np.bincount(terms, minlength=len(df))
+        found[: len(df)] += df
+        df = found
+        for i in range(0, docs, ROWS_AT_ONCE):
+            own = edges[i : i + ROWS_AT_ONCE + 1]
+            data = ends[own[0] : own[-1]]
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own) - 1, [None, pa.py_buffer(((own - own[0]) * kind.itemsize).astype("<i8")), pa.py_buffer(data)])
+            rows = batch.slice(i, len(own) - 1)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(own)), ids.cast(pa.binary())], names=["doc_id", "h", "n", "ids"])
+    if len(df):
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array([0]), pa.array([-1]), pa.array([df.astype("<i8").tobytes()], pa.binary())], names=["doc_id", "h", "n", "ids"])
 
 
 def _kind(path: str) -> str:
     return "<u2" if tokenizer(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts that ``_tokens`` left."""
     df = np.zeros(0, np.int64)
     for batch in batches:
-        terms = [np.unique(np.frombuffer(i, kind)) for i in batch.column(0).to_pylist()]
-        if terms:
-            found = np.bincount(np.concatenate(terms), minlength=len(df))
-            found[: len(df)] += df
+        for data in batch.column(0).to_pylist():
+            found = np.frombuffer(data, "<i8").copy()
+            short, found = sorted((df, found), key=len)
+            found[: len(short)] += short
             df = found
     term = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], names=["term", "df"])
@@ -280,10 +318,11 @@ def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFr
     ids_kind = _kind(tokenizer_path)
     path = new_path(docs.sparkSession, "tokens")
     map_arrow(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), lambda b: _tokens(b, tokenizer_path), f"doc_id {kind}, h bigint, n bigint, ids binary").write.parquet(path)
-    tokens = docs.sparkSession.read.parquet(path)
+    every = docs.sparkSession.read.parquet(path)
+    tokens = every.filter("n >= 0")
     count, total = tokens.agg(F.count(F.lit(1)), F.sum("n")).first()
     df = np.zeros(1 << (8 * np.dtype(ids_kind).itemsize if ids_kind == "<u2" else 20), np.int64)
-    counted = map_arrow(tokens.select("ids"), lambda b: _term_counts(b, ids_kind), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    counted = map_arrow(every.filter("n < 0").select("ids"), _term_counts, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
     # leaders: different texts of least hash; only hashes are ordered, then the few texts are fetched
     chosen = [r.h for r in tokens.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(LEVELS[-1]).collect()]

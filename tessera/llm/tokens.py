@@ -79,14 +79,12 @@ class WordTokens:
         found = self.words.recall(word)
         if found is not None:
             return found
-        if PLAIN.fullmatch(word):
-            low = word.lower()
-            if low.isalpha():
-                found = self._piece(low)
-            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                found = self._piece(low[:-1]) + self._piece(low[-1])
-            else:
-                found = b"".join(map(self._piece, PIECE.findall(low)))
+        if word.isascii() and word.isalpha():
+            found = self._piece(word.lower())
+        elif word.isascii() and word[-1] in ".,;:!?" and word[:-1].isalpha():
+            found = self._piece(word[:-1].lower()) + self._piece(word[-1])
+        elif PLAIN.fullmatch(word):
+            found = b"".join(map(self._piece, PIECE.findall(word.lower())))
         else:
             found = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         self.words[word] = found
