@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACES, bucket_of, numbers, table
 from tessera.llm.gray_index import tables
+from tessera.operators.storage import written
 
 #: Two counters of 32 bits in a long.
 PAIR = (1 << 32) | 1
 LEAST = -(1 << 63)
 #: Rows of an order bucket, and most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 500, 1 << 16
+#: Fingerprints that may share the leading bits of a table before these are split.
+CROWD = 1 << 12
 
 
 def terms(text: Column) -> Column:
@@ -56,37 +59,72 @@ def likeness(a: Column, b: Column) -> Column:
     return 1.0 - F.bit_count(a.bitwiseXOR(b)) / 64.0
 
 
-def front_keys(fp: Column, radius: int) -> list[Column]:
-    """The leading bits of ``fp`` in each permuted table; fingerprints within the radius agree in at least one."""
-    out = []
-    for order, front in tables(radius):
-        key, left = F.lit(0).cast("long"), front
-        for low, width in order:
-            if left <= 0:
-                break
-            left -= width
-            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)), left))
-        out.append(key)
+def permuted(fp: Column, order: list[tuple[int, int]]) -> Column:
+    """``fp`` with its blocks (lowest bit, width) in this order, the first one leading."""
+    out, left = F.lit(0).cast("long"), 64
+    for low, width in order:
+        left -= width
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)), left))
     return out
 
 
+def front_keys(fp: Column, radius: int, spare: int = 2) -> list[Column]:
+    """The leading bits of ``fp`` in each permuted table; fingerprints within the radius agree in at least one."""
+    return [F.shiftrightunsigned(permuted(fp, order), 64 - front) for order, front in tables(radius, spare)]
+
+
+def _inner(rest: Column, bits: int, radius: int) -> list[Column]:
+    """Keys of the lowest ``bits`` bits: of codes that differ in at most ``radius`` of them at least one key is equal."""
+    n = radius + 2
+    edges = [bits * i // n for i in range(n + 1)]
+    part = [F.shiftright(rest, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
+    return [F.shiftleft(a, edges[j + 1] - edges[j]).bitwiseOR(part[j]) for i, a in enumerate(part) for j in range(i + 1, n)]
+
+
 def within_radius(queries: DataFrame, corpus: DataFrame, radius: int = 3) -> DataFrame:
     """``query_fp, fp, distance``: for each distinct ``fp`` of ``queries`` all distinct ``fp`` of ``corpus`` within the radius, itself included.
 
     Both sides enter one table per block choice and meet on table and leading
-    bits; a pair is kept in the first table that it meets in. Nulls match nothing.
+    bits; a pair is kept in the first table that it meets in. Larger tables
+    take more blocks and so more leading bits. Leading bits that more than
+    CROWD fingerprints share are split: there the other bits are cut into
+    blocks in the same way, and rows meet on a choice of these too. Nulls match
+    nothing.
     """
-
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        rows = F.array(*(F.struct(F.lit(t).alias("t"), key.alias("key")) for t, key in enumerate(front_keys(F.col("fp"), radius))))
-        return df.select("fp").filter("fp IS NOT NULL").distinct().select(F.col("fp").alias(name), F.explode(rows).alias("at")).select(name, "at.t", "at.key")
-
-    left, right = placed(queries, "query_fp"), placed(corpus, "fp")
-    met = left.join(right, ["t", "key"])
-    both = zip(front_keys(F.col("query_fp"), radius), front_keys(F.col("fp"), radius))
-    firsts = F.array_min(F.array(*(F.when(a == b, F.lit(t)) for t, (a, b) in enumerate(both))))
-    distance = F.bit_count(F.col("query_fp").bitwiseXOR(F.col("fp")))
-    return met.filter((distance <= radius) & (F.col("t") == firsts)).select("query_fp", "fp", distance.alias("distance"))
+    known = written(corpus.select("fp").filter("fp IS NOT NULL").distinct())
+    count, spare = known.count(), 2
+    while spare < 5 and count >> min(front for _, front in tables(radius, spare)) > 4:
+        spare += 1
+    plan = tables(radius, spare)
+
+    def placed(df: DataFrame) -> DataFrame:
+        rows = F.array(*(F.struct(F.lit(t).alias("t"), permuted(F.col("fp"), order).alias("code")) for t, (order, _) in enumerate(plan)))
+        front = F.element_at(numbers([64 - f for _, f in plan], "int"), F.col("t") + 1)
+        coded = df.select("fp", F.explode(rows).alias("at")).select("fp", "at.t", "at.code", front.alias("wide"))
+        return coded.selectExpr("fp", "t", "shiftrightunsigned(code, wide) AS key", "code & (shiftleft(1L, wide) - 1) AS rest")
+
+    own = placed(known)
+    crowded = written(own.groupBy("t", "key").count().filter(F.col("count") > CROWD).select("t", "key", F.lit(True).alias("crowded")))
+    bits = 64 - min(front for _, front in plan)
+
+    def split(rows: DataFrame) -> DataFrame:
+        subs = F.array(*(F.struct(F.lit(s).alias("s"), key.alias("sub")) for s, key in enumerate(_inner(F.col("rest"), bits, radius))))
+        plain = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("sub")))
+        return rows.join(crowded, ["t", "key"], "left").select("fp", "t", "key", "rest", F.explode(F.when(F.col("crowded"), subs).otherwise(plain)).alias("x")).select("fp", "t", "key", "rest", "x.s", "x.sub")
+
+    right = split(own)
+    asked = queries.select("fp").filter("fp IS NOT NULL").distinct()
+    left = split(placed(asked)).withColumnsRenamed({"fp": "query_fp", "rest": "query_rest"})
+    met = left.join(right, ["t", "key", "s", "sub"])
+    distance = F.bit_count(F.col("query_rest").bitwiseXOR(F.col("rest")))
+
+    def first(pairs: list[tuple[Column, Column]]) -> Column:
+        return F.coalesce(*(F.when(a == b, F.lit(i)) for i, (a, b) in enumerate(pairs)))
+
+    table_ = first(list(zip(front_keys(F.col("query_fp"), radius, spare), front_keys(F.col("fp"), radius, spare))))
+    sub = first(list(zip(_inner(F.col("query_rest"), bits, radius), _inner(F.col("rest"), bits, radius))))
+    kept = (distance <= radius) & (F.col("t") == table_) & ((F.col("s") < 0) | (F.col("s") == sub))
+    return met.filter(distance <= radius).filter(kept).select("query_fp", "fp", distance.alias("distance"))
 
 
 def share_a_table(a: Column, b: Column, radius: int) -> Column:
@@ -145,8 +183,18 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_chars", sha.alias("edited_sha256"), "fp", "edited_fp", "next_fp", share_a_table(F.col("fp"), F.col("edited_fp"), radius).alias("edited_in_radius"))
 
 
+def with_neighbours(found: DataFrame, radius: int = 3) -> DataFrame:
+    """``found`` (``doc_id, fp, ...``) with ``n_near``, the number of other different fingerprints in it within the radius, and ``first_near``, the least id of a document that has one of them (null if there is none)."""
+    found = written(found)
+    least = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    pairs = within_radius(found, found, radius).filter("distance > 0")
+    near = pairs.join(least, "fp").groupBy("query_fp").agg(F.count(F.lit(1)).alias("n_near"), F.min("first").alias("first_near"))
+    near = written(near)  # so that both sides of the join are plain exchanges, and the partition of a very common text can be split
+    return found.join(near, F.col("fp") == F.col("query_fp"), "left").drop("query_fp").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
+
+
 def op3_fingerprint(spark, sf_dir) -> DataFrame:
-    found = edited_fingerprints(table(spark, sf_dir, "documents"))
+    found = with_neighbours(edited_fingerprints(table(spark, sf_dir, "documents")))
 
     def text(c: str) -> Column:
         return F.lpad(F.lower(F.hex(c)), 16, "0")
@@ -160,4 +208,6 @@ def op3_fingerprint(spark, sf_dir) -> DataFrame:
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         "edited_in_radius",
+        "n_near",
+        "first_near",
     )

@@ -389,7 +389,7 @@ def test_class_model_is_a_distribution(spark):
     c = {r.h: r.c for r in counts.collect()}
     words = brown_lm.Words()
     words.ids([[w.encode() for w in "abcd"]])
-    for h, k in zip(words.h.tolist(), model.label[model.units.of(words)]):
+    for h, k in zip(words.h.tolist(), model.label[model.units.of(words.h, words.ending)]):
         by_class[k] = by_class.get(k, 0) + (c[h] + 0.1) / 10 ** model.emission[k]
     unknown = {k: 0.1 / 10 ** model.emission[k] for k in by_class}
     assert all(abs(by_class[k] + unknown[k] - 1) < 1e-9 for k in by_class)
@@ -407,8 +407,8 @@ def test_scores_and_classes_by_plain_counts(spark, monkeypatch):
     model, counts = brown_lm.train(training)
     table = brown_lm.Words()
     table.ids([[w.encode() for w in words]])
-    first = dict(zip(words, model.label[model.units.of(table)].tolist()))
-    final = dict(zip(words, model.classes(table).tolist()))
+    first = dict(zip(words, model.label[model.units.of(table.h, table.ending)].tolist()))
+    final = dict(zip(words, model.classes(table.h, table.ending).tolist()))
     seen = [t.split() for i, t in enumerate(texts) if i % 5]
     c, end, k = Counter(w for t in seen for w in t), int(model.label[model.units.end]), len(model.emission)
     assert {r.h: r.c for r in counts.collect()} == {h: c[w] for h, w in zip(table.h.tolist(), words) if c[w]}
@@ -468,7 +468,7 @@ def test_core_is_full_where_words_tie(spark, monkeypatch):
     words = brown_lm.Words()
     words.ids([[w.encode() for w in "abcdef"]])
     by_class = {}
-    for k in model.label[model.units.of(words)]:
+    for k in model.label[model.units.of(words.h, words.ending)]:
         by_class[k] = by_class.get(k, 0) + 4.1 / 10 ** model.emission[k]
     assert all(abs(x + 0.1 / 10 ** model.emission[k] - 1) < 1e-9 for k, x in by_class.items())
 

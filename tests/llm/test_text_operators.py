@@ -199,18 +199,39 @@ def test_edited_fingerprints(docs, doc_rows, none, monkeypatch):
     assert fingerprints.edited_fingerprints(docs.limit(1)).count() == 1
 
 
-def test_within_radius(spark):
+def test_within_radius(spark, monkeypatch):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(60)]
     all_ = base + [b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(5)] + base[:5]
     signed = lambda x: x - (1 << 64) * (x >> 63)
     df = spark.createDataFrame([(signed(x),) for x in all_] + [(None,)], "fp bigint")
-    for radius in (0, 3):
+    for radius, crowd in ((0, 100), (3, 100), (3, 2)):
+        monkeypatch.setattr(fingerprints, "CROWD", crowd)
         got = {(r.query_fp, r.fp, r.distance) for r in fingerprints.within_radius(df.limit(20), df, radius).collect()}
         want = {(signed(a), signed(b), (a ^ b).bit_count()) for a in all_[:20] for b in all_ if (a ^ b).bit_count() <= radius}
         assert got == want
 
 
+def test_query_counts_neighbours(spark, tmp_path):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(20)]
+    for t in texts[:]:
+        for _ in range(6):
+            parts = t.split(" ")
+            parts[rng.randrange(200)] = rng.choice(words)
+            texts.append(" ".join(parts))
+    rows = [(i, t) for i, t in enumerate([*texts, None, texts[0]])] + [(None, texts[1]), (7, texts[2])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    fps = [(d, plain_fingerprint(t)) for d, t in rows]
+    want = Counter()
+    for d, f in fps:
+        near = {g: min((e for e, x in fps if x == g and e is not None), default=None) for _, g in fps if 0 < (f ^ g).bit_count() <= 3}
+        want[d, f, len(near), min((x for x in near.values() if x is not None), default=None)] += 1
+    got = Counter((r.doc_id, int(r.fingerprint, 16), r.n_near, r.first_near) for r in fingerprints.op3_fingerprint(spark, str(tmp_path)).collect())
+    assert got == want and sum(k[2] for k in want) > 20
+
+
 def test_licenses(spark, docs, none):
     mit = dict((t, k) for k, t in licenses.KNOWN)
     text = "Copyright (c) 1999 Somebody\n\n" + licenses._MIT.upper().replace(",", " ,").replace("\n\n", "\n")
