@@ -38,6 +38,11 @@ def base58_decode(text: Column) -> Column:
     return F.when(sound, total.cast("decimal(20,0)"))
 
 
+def base58_reverse(text: Column) -> Column:
+    """The digits in the other order."""
+    return F.reverse(text)
+
+
 # Flags are SMALLINT from 0 to 255.
 
 

@@ -38,6 +38,24 @@ def _matrix(items: list[bytes], pad: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def _like_lengths(kernel: Callable[[list[bytes]], np.ndarray]) -> Callable[[list[bytes]], np.ndarray]:
+    """The kernel over items of like length at a time, so that one long item does not pad all others."""
+
+    def run(items: list[bytes], *args) -> np.ndarray:
+        size = np.fromiter((len(x).bit_length() for x in items), np.int64, len(items))
+        kinds = np.unique(np.maximum(size, 6))
+        if len(kinds) < 2:
+            return kernel(items, *args)
+        out = np.zeros(len(items), U)
+        for kind in kinds:
+            own = np.flatnonzero(np.maximum(size, 6) == kind)
+            out[own] = kernel([items[i] for i in own], *args)
+        return out
+
+    return run
+
+
+@_like_lengths
 def fnv1_64(items: list[bytes]) -> np.ndarray:
     data, sizes = _matrix(items)
     h = np.full(len(items), FNV64_OFFSET, U)
@@ -46,6 +64,7 @@ def fnv1_64(items: list[bytes]) -> np.ndarray:
     return h
 
 
+@_like_lengths
 def fnv1_32(items: list[bytes]) -> np.ndarray:
     data, sizes = _matrix(items)
     h = np.full(len(items), FNV32_OFFSET, np.uint32)
@@ -64,6 +83,7 @@ def _crc_table() -> np.ndarray:
 _CRC = _crc_table()
 
 
+@_like_lengths
 def crc64(items: list[bytes]) -> np.ndarray:
     data, sizes = _matrix(items)
     c = np.full(len(items), TWO64 - 1, U)
@@ -76,6 +96,7 @@ def _turn(x: np.ndarray, by: int) -> np.ndarray:
     return (x << U(by)) | (x >> U(64 - by))
 
 
+@_like_lengths
 def siphash24(items: list[bytes], key: bytes = SIP_KEY) -> np.ndarray:
     """SipHash with two rounds a block and four at the end."""
     data, sizes = _matrix(items, 8)
@@ -177,12 +198,3 @@ def unsigned(bits: Column) -> Column:
     """The value of a 64-bit pattern as DECIMAL(20,0)."""
     wide = bits.cast("decimal(20,0)")
     return F.when(bits < 0, wide + F.lit(str(TWO64)).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
-
-
-def fnv1_32_native(item: Column) -> Column:
-    """FNV-1 32 without Python: the hash as BIGINT by folding over the bytes in hex."""
-    hexed = F.hex(item.cast("binary"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(hexed) / 2, F.lit(1)).cast("int")), lambda i: F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint"))
-    bytes_ = F.when(F.length(hexed) > 0, pairs).otherwise(F.array().cast("array<bigint>"))
-    mask = F.lit(0xFFFFFFFF)
-    return F.aggregate(bytes_, F.lit(FNV32_OFFSET).cast("bigint"), lambda h, x: (h * FNV32_PRIME).bitwiseAND(mask).bitwiseXOR(x))

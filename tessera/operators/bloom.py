@@ -71,6 +71,9 @@ class Bloom:
         filled = cells.select("idx", F.lit(1).alias("hit"))
         return probes.join(filled, "idx", "left").groupBy(item).agg((F.count(F.lit(1)) == F.count("hit")).alias("exist"))
 
+    def clear(self, cells: DataFrame) -> DataFrame:
+        return cells.filter("false")
+
     def false_positive(self, n: int) -> float:
         """Rate after n additions; computed with m - 1, the mask of the cells."""
         return (1 - exp(-self.k * n / (self.m - 1))) ** self.k

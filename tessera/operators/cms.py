@@ -43,13 +43,20 @@ class CountMin:
         weight = F.lit(1) if count is None else count
         by_key = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("key")).agg(F.sum(weight).cast("bigint").alias("cnt"))
         cells = by_key.select(fnv1_64_hash("key").alias("h"), "cnt").select(F.explode(self.cells_of(F.col("h"))).alias("cell"), "cnt")
-        return cells.groupBy("cell.row", "cell.col").agg(F.sum("cnt").alias("cnt"))
+        return self._marked(cells.groupBy("cell.row", "cell.col").agg(F.sum("cnt").alias("cnt")))
+
+    def _marked(self, sketch: DataFrame) -> DataFrame:
+        return sketch.withMetadata("cnt", {"width": self.width, "depth": self.depth})
 
     def merge(self, *sketches: DataFrame) -> DataFrame:
+        """Of sketches of these dimensions; a sketch that was built with others is refused."""
+        for one in sketches:
+            if (found := one.schema["cnt"].metadata) and found != {"width": self.width, "depth": self.depth}:
+                raise ValueError(f"a sketch of {found} does not merge into {self}")
         out = sketches[0]
         for other in sketches[1:]:
             out = out.unionByName(other)
-        return out.groupBy("row", "col").agg(F.sum("cnt").alias("cnt"))
+        return self._marked(out.groupBy("row", "col").agg(F.sum("cnt").alias("cnt")))
 
     def estimate(self, sketch: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         """``key, estimate`` for each different key: the least of its cells, never below its true count."""

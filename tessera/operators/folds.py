@@ -37,6 +37,21 @@ def token_bucket(df: DataFrame, key: str, ts: str, id_: str, limit: float, burst
     return _by_key(asked, key, [key, ts, id_, "n"], run, allowed=T.BooleanType())
 
 
+def token_waits(df: DataFrame, key: str, ts: str, id_: str, limit: float, burst: int, n: Column | None = None) -> DataFrame:
+    """``key, ts, id, n, wait_ns``: how long each request would have to wait for its tokens, among requests that take theirs where they find them; null where it would be in vain."""
+    asked = df.select(key, ts, id_, (F.lit(1) if n is None else n).cast("int").alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([ts, id_], kind="stable")
+        state, out = step.Bucket(), []
+        for now, many in zip(pdf[ts].astype("datetime64[ns]").astype("int64"), pdf["n"]):
+            out.append(step.bucket_wait(state, int(now), int(many), limit, burst))
+            state, _ = step.bucket_allow(state, int(now), int(many), limit, burst)
+        return pdf.assign(wait_ns=pd.Series(out, index=pdf.index, dtype="Int64"))
+
+    return _by_key(asked, key, [key, ts, id_, "n"], run, wait_ns=T.LongType())
+
+
 def second_counter(df: DataFrame, key: str, ts: str, id_: str, limit: int, n: Column | None = None) -> DataFrame:
     """``key, ts, id, allowed``: a counter for each key and second, raised first and compared then, so refused calls count too."""
     window = Window.partitionBy(key, F.date_trunc("second", F.col(ts))).orderBy(ts, id_).rowsBetween(Window.unboundedPreceding, 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import numbered
 from tessera.operators.storage import shared_dir
 
 THRESHOLD, STEADY, EVERY = 1e-10, 3, 8
@@ -22,12 +23,11 @@ def push_sum(readings: DataFrame, node: str, value: str, rounds: int = 60, thres
     """
     shared_dir(readings.sparkSession)
     numbers = readings.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.first(value).cast("double").alias("value"), (F.bool_and(active) if active else F.lit(True)).alias("active"))
-    order = {r.node: i for i, r in enumerate(numbers.select("node").orderBy("node").collect())}  # peers of one gossip group
-    n = len(order)
+    numbers = numbered(numbers, ["node"], "i").withColumn("i", F.col("i").cast("int"))
+    n = numbers.count()
     if n < 2:
         return numbers.select("node", F.col("value").alias("estimate"), F.lit(0).alias("steady"))
-    pairs = [x for k, i in order.items() for x in (F.lit(k), F.lit(i))]
-    at = numbers.select("node", F.create_map(*pairs)[F.col("node")].alias("i"), "active", "value", F.lit(1.0).alias("weight"), F.lit(0).alias("steady")).checkpoint()
+    at = numbers.select("node", "i", "active", "value", F.lit(1.0).alias("weight"), F.lit(0).alias("steady")).checkpoint()
     for step in range(rounds):
         peer = F.pmod(F.col("i") + 1 + F.pmod(F.xxhash64("i", F.lit(step)), F.lit(n - 1)), F.lit(n)).cast("int")
         kept = F.when(F.col("active"), F.lit(0.5)).otherwise(F.lit(0.0))

@@ -45,14 +45,20 @@ class HyperLogLog:
         h = self.hash_(F.col("item"))
         zeros = F.when(F.col("h") == 0, F.lit(64)).otherwise(F.bit_count(F.col("h").bitwiseAND(-F.col("h")) - 1))
         rho = F.least(zeros + 1, F.lit(33 - self.bits)).cast("int")
-        return items.withColumn("h", h).select(*by, F.shiftright("h", 32 - self.bits).alias("reg"), rho.alias("rho")).groupBy(*by, "reg").agg(F.max("rho").alias("rho"))
+        return items.withColumn("h", h).select(*by, F.shiftright("h", 32 - self.bits).alias("reg"), rho.alias("rho")).groupBy(*by, "reg").agg(F.max("rho").alias("rho")).withMetadata("rho", {"registers": self.registers})
+
+    def reset(self, sketch: DataFrame) -> DataFrame:
+        return sketch.filter("false")
 
     def merge(self, *sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-        """Of sketches with the same number of registers and the same hash; also drops group columns not in ``by``."""
+        """Of sketches with this number of registers (one that was built with another is refused) and the same hash; also drops group columns not in ``by``."""
+        for one in sketches:
+            if (found := one.schema["rho"].metadata) and found != {"registers": self.registers}:
+                raise ValueError(f"a sketch of {found} does not merge into {self.registers} registers")
         out = sketches[0].select(*by, "reg", "rho")
         for other in sketches[1:]:
             out = out.unionByName(other.select(*by, "reg", "rho"))
-        return out.groupBy(*by, "reg").agg(F.max("rho").alias("rho"))
+        return out.groupBy(*by, "reg").agg(F.max("rho").alias("rho")).withMetadata("rho", {"registers": self.registers})
 
     def estimate(self, sketch: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         """``by, estimate``: with the corrections for small and large ranges, cut to an integer."""

@@ -29,19 +29,33 @@ def flake_bits(bits: int) -> int:
     return bits if FLAKE_LEAST <= bits <= FLAKE_MOST else FLAKE_BITS
 
 
+def _elapsed(ts: str, start: datetime) -> Column:
+    """Whole seconds since the start, in milliseconds."""
+    if start.timestamp() < 0 or start > datetime.now(timezone.utc):
+        raise ValueError("the start is before 1970 or still to come")
+    return (F.unix_seconds(F.col(ts).cast("timestamp")) - int(start.timestamp())) * 1000
+
+
 def flake_ids(df: DataFrame, order: list[str], ts: str, start: datetime = FLAKE_START, bits: int = FLAKE_BITS, name: str = "id") -> DataFrame:
     """Ids of elapsed time (whole seconds, in milliseconds) and a sequence in the low bits: each is the greater of its time's first id and the id before it plus one.
 
     The recurrence e(i) = max(t(i), e(i-1) + 1) is the running maximum of t(i) - i, plus i.
     """
     bits = flake_bits(bits)
-    if start.timestamp() < 0:
-        raise ValueError("the start is before 1970")
-    elapsed = (F.unix_seconds(F.col(ts).cast("timestamp")) - int(start.timestamp())) * 1000
-    counted = numbered(df, order, "_i").withColumn("_t", F.shiftleft(elapsed, bits))
+    counted = numbered(df, order, "_i").withColumn("_t", F.shiftleft(_elapsed(ts, start), bits))
     return running_max(counted, order, F.col("_t") - F.col("_i"), "_m").withColumn(name, F.col("_m") + F.col("_i")).drop("_i", "_t", "_m")
 
 
+def flake_ranges(df: DataFrame, order: list[str], ts: str, n: str, start: datetime = FLAKE_START, bits: int = FLAKE_BITS, name: str = "id") -> DataFrame:
+    """The first of the ``n`` ids that each row reserves, as :func:`flake_ids`; rows that ask for fewer than one fail the query.
+
+    With s(i) the ids reserved before row i, e(i) = max(t(i), e(i-1) + n(i-1)) is the running maximum of t(i) - s(i), plus s(i).
+    """
+    bits = flake_bits(bits)
+    counted = reserved_ids(df, order, n, "_s").withColumn("_t", F.shiftleft(_elapsed(ts, start), bits))
+    return running_max(counted, order, F.col("_t") - F.col("_s"), "_m").withColumn(name, F.col("_m") + F.col("_s")).drop("_s", "_t", "_m")
+
+
 def flake_parts(id_: Column, bits: int = FLAKE_BITS) -> Column:
     """STRUCT(elapsed_ms, sequence) of a flake id."""
     bits = flake_bits(bits)

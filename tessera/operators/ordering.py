@@ -7,7 +7,7 @@ summed on the driver, and every partition adds its offset to local numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.storage import written
@@ -29,13 +29,20 @@ def dealt(df: DataFrame, order: list[Column], partitions: int | None = None) ->
     return written(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "dealt")
 
 
-def _offsets(totals: list[tuple[int, int]], spark: SparkSession) -> Column:
+def _offsets(totals: list[tuple[int, int]]) -> Column:
     """The sum of the totals of earlier partitions, by ``_p``."""
-    at, pairs = 0, []
-    for p, total in sorted(totals):
-        pairs += [F.lit(p), F.lit(at)]
-        at += total
-    return F.coalesce(F.create_map(*pairs)[F.col("_p")], F.lit(0)).cast("bigint") if pairs else F.lit(0).cast("bigint")
+    before, found = [], dict(totals)
+    at = 0
+    for p in range(max(found, default=-1) + 1):
+        before.append(at)
+        at += found.get(p, 0)
+    return _by_partition(before)
+
+
+def _by_partition(values: list[int | None]) -> Column:
+    """The value of a row's partition, by index from one literal (null where there is none)."""
+    text = ",".join("" if v is None else str(v) for v in values)
+    return F.get(F.split(F.lit(text), ","), F.col("_p")).try_cast("bigint") if values else F.lit(None).cast("bigint")
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
@@ -43,7 +50,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     rows = dealt(df, [F.col(c) for c in order])
     totals = [(r["_p"], r["count"]) for r in rows.groupBy("_p").count().collect()]
     local = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return rows.withColumn(name, (local + _offsets(totals, df.sparkSession)).cast("bigint")).drop("_p")
+    return rows.withColumn(name, (local + _offsets(totals)).cast("bigint")).drop("_p")
 
 
 def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
@@ -51,20 +58,20 @@ def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> Da
     rows = dealt(df.withColumn("_v", value.cast("bigint")), [F.col(c) for c in order])
     totals = [(r["_p"], r.s) for r in rows.groupBy("_p").agg(F.sum("_v").alias("s")).collect()]
     window = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.coalesce(F.sum("_v").over(window), F.lit(0)) + _offsets(totals, df.sparkSession)).drop("_p", "_v")
+    return rows.withColumn(name, F.coalesce(F.sum("_v").over(window), F.lit(0)) + _offsets(totals)).drop("_p", "_v")
 
 
 def running_max(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
     """``df`` with the greatest ``value`` up to and with each row in the given total order."""
     rows = dealt(df.withColumn("_v", value.cast("bigint")), [F.col(c) for c in order])
-    best, pairs = None, []
-    for r in sorted(rows.groupBy("_p").agg(F.max("_v").alias("m")).collect()):
-        if best is not None:
-            pairs += [F.lit(r["_p"]), F.lit(best)]
-        best = r.m if best is None else max(best, r.m)
-    earlier = F.create_map(*pairs)[F.col("_p")] if pairs else F.lit(None)
+    found = {r["_p"]: r.m for r in rows.groupBy("_p").agg(F.max("_v").alias("m")).collect()}
+    best, before = None, []
+    for p in range(max(found, default=-1) + 1):
+        before.append(best)
+        best = max((x for x in (best, found.get(p)) if x is not None), default=None)
+    earlier = _by_partition(before)
     local = F.max("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(name, F.greatest(local, earlier.cast("bigint"))).drop("_p", "_v")
+    return rows.withColumn(name, F.greatest(local, earlier)).drop("_p", "_v")
 
 
 def kth_smallest(df: DataFrame, column: str, k: int, by: tuple[str, ...] = ()) -> DataFrame:

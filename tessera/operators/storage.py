@@ -14,11 +14,13 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the session has it, or a temporary folder where it is unset (tests on one machine)."""
+    """``spark.checkpoint.dir`` as the session has it, or a temporary folder where it is unset and all runs on one machine."""
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if found is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             found = tempfile.mkdtemp(prefix="shared-")
             atexit.register(shutil.rmtree, found, True)
         spark.sparkContext.setCheckpointDir(found)

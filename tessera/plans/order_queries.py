@@ -85,6 +85,19 @@ def flake_ids(spark, sf_dir):
     return identifiers.flake_ids(table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"], "ts").select("event_id", "id")
 
 
+@query(
+    "flake_ranges",
+    f"""
+WITH e AS (SELECT event_id, ts, coalesce(sum(1 + event_id % 3) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, (floor(epoch(ts))::BIGINT - {START}) * 1000 * {1 << identifiers.FLAKE_BITS} AS t FROM events)
+SELECT event_id, (max(t - s) OVER (ORDER BY ts, event_id) + s)::BIGINT AS id, (1 + event_id % 3)::BIGINT AS n FROM e
+""",
+)
+def flake_ranges(spark, sf_dir):
+    """Each event reserves one to three ids."""
+    asked = table(spark, sf_dir, "events").select("event_id", "ts", (1 + F.col("event_id") % 3).alias("n"))
+    return identifiers.flake_ranges(asked, ["ts", "event_id"], "ts", "n").select("event_id", "id", "n")
+
+
 def _permuted(x: str) -> str:
     r = f"((({x})::HUGEINT * ({x})::HUGEINT) % {RANDOM_PRIME})::BIGINT"
     return f"(CASE WHEN ({x}) >= {RANDOM_PRIME} THEN ({x}) WHEN ({x}) <= {RANDOM_PRIME // 2} THEN {r} ELSE {RANDOM_PRIME} - {r} END)"
@@ -117,6 +130,11 @@ def base58_encode(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", codecs.base58_encode(F.col("o_orderkey")).alias("text"))
 
 
+@query("base58_reverse", "SELECT c_custkey, reverse(c_custkey::VARCHAR) AS reversed FROM customer")
+def base58_reverse(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", codecs.base58_reverse(F.col("c_custkey").cast("string")).alias("reversed"))
+
+
 @query("base58_decode", "SELECT o_orderkey, o_orderkey AS decoded FROM orders")
 def base58_decode(spark, sf_dir):
     encoded = table(spark, sf_dir, "orders").select("o_orderkey", codecs.base58_encode(F.col("o_orderkey")).alias("text"))

@@ -53,13 +53,45 @@ def ring_loads(spark, sf_dir):
     return placement.loads(placed)
 
 
-@query("ring_bounded_load")
+_BOUND = "ceil(greatest(1, (list_sum(load) + 1) // 5) * 1.25)"
+
+
+@query(
+    "ring_bounded_load",
+    f"""
+WITH RECURSIVE v AS (SELECT r_name AS node, r_name || i::VARCHAR AS name FROM region, range({placement.REPLICAS}) AS t(i)),
+r AS (SELECT {sql.crc64("name")} AS point, max(node) AS node FROM v GROUP BY 1),
+names AS (SELECT list(r_name ORDER BY r_name) AS names FROM region),
+k AS (SELECT s_nationkey, s_suppkey, s_name, {sql.crc64("s_name")} AS h, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, s_name) AS i FROM supplier WHERE s_name IS NOT NULL AND s_nationkey IS NOT NULL),
+w AS (SELECT s_nationkey, s_suppkey, s_name, i, list(list_position(names, node) ORDER BY point < h, point) AS walk FROM k, r, names GROUP BY ALL),
+s AS (
+  SELECT s_nationkey, 0::BIGINT AS i, 0::BIGINT AS s_suppkey, '' AS s_name, 0 AS pick, [0, 0, 0, 0, 0] AS load FROM (SELECT DISTINCT s_nationkey FROM k)
+  UNION ALL
+  SELECT s_nationkey, i, s_suppkey, s_name, pick, list_transform(load, lambda x, j: x + (j = pick)::INT)
+  FROM (SELECT w.*, load, list_filter(walk, lambda n: load[n] + 1 <= {_BOUND})[1] AS pick FROM s JOIN w ON w.s_nationkey = s.s_nationkey AND w.i = s.i + 1))
+SELECT s_nationkey, s_name, s_suppkey, names[pick] AS node FROM s, names WHERE i > 0
+""",
+)
 def ring_bounded_load(spark, sf_dir):
     """Suppliers of each nation, one after another, on the five regions within the load bound."""
     nodes = [r.r_name for r in table(spark, sf_dir, "region").select("r_name").collect()]
     return placement.place_bounded(table(spark, sf_dir, "supplier"), "s_name", "s_suppkey", nodes, "s_nationkey")
 
 
+def _left_sql() -> str:
+    gone = "r AS (SELECT * FROM every WHERE node NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 1)),"
+    return _ring_sql("customer", "c_name").replace("r AS (SELECT", "every AS (SELECT").replace("k AS (SELECT c_name", f"{gone} k AS (SELECT c_name")
+
+
+@query("ring_after_removal", f"WITH {_left_sql()} SELECT node, count(*)::BIGINT AS load FROM placed GROUP BY node")
+def ring_after_removal(spark, sf_dir):
+    """Keys by node after the nations of one region left the ring."""
+    nations = table(spark, sf_dir, "nation")
+    left = placement.remove_nodes(placement.ring(nations, "n_name"), nations.filter("n_regionkey = 1").select(F.col("n_name").alias("node")))
+    placed = table(spark, sf_dir, "customer").select(placement.RingLookup(left).node_of("c_name").alias("node"), F.lit(1).alias("delta"))
+    return placement.loads(placed)
+
+
 TOTALS = [(0, 3), (1, 3), (100, 3), (99, 4), (7, 10)]
 
 
@@ -106,6 +138,32 @@ def lru_hits(spark, sf_dir):
     return caching.lru_hits(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 50, "event_type")
 
 
+@query(
+    "lru_log",
+    """
+WITH RECURSIVE e AS (SELECT user_id, (event_id % 4)::BIGINT AS key, CASE event_id % 11 WHEN 3 THEN 'get' WHEN 5 THEN 'remove' WHEN 8 THEN 'remove_oldest' WHEN 10 THEN 'clear' ELSE 'add' END AS op,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE user_id IS NOT NULL),
+s AS (
+  SELECT user_id, 0::BIGINT AS i, []::BIGINT[] AS held, []::BIGINT[] AS gone FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, i,
+    CASE WHEN op IN ('add', 'get') THEN (CASE WHEN len(moved) > 2 THEN moved[2:] ELSE moved END)
+         WHEN op = 'remove' THEN list_filter(held, lambda x: x <> key) WHEN op = 'remove_oldest' THEN held[2:] ELSE [] END,
+    gone || CASE WHEN op IN ('add', 'get') THEN (CASE WHEN len(moved) > 2 THEN moved[:1] ELSE [] END)
+         WHEN op = 'remove' THEN list_filter(held, lambda x: x = key) WHEN op = 'remove_oldest' THEN held[:1] ELSE held END
+  FROM (SELECT e.*, held, gone, CASE WHEN op = 'add' OR list_contains(held, key) THEN list_append(list_filter(held, lambda x: x <> key), key) ELSE held END AS moved
+        FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)),
+z AS (SELECT user_id, arg_max(gone, i) AS gone FROM s GROUP BY 1)
+SELECT user_id, unnest(range(0, len(gone))) AS purged, unnest(gone) AS key FROM z
+""",
+)
+def lru_log(spark, sf_dir):
+    """A cache of two entries for each user, with adds, gets and removals."""
+    kinds = F.when(F.col("k") == 3, "get").when(F.col("k") == 5, "remove").when(F.col("k") == 8, "remove_oldest").when(F.col("k") == 10, "clear").otherwise("add")
+    log = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").withColumn("k", F.col("event_id") % 11).select("user_id", "event_id", kinds.alias("op"), (F.col("event_id") % 4).alias("key"))
+    return caching.lru_log(log, "user_id", "event_id", "op", "key", 2)
+
+
 @query(
     "lease_read_through",
     """
@@ -120,7 +178,24 @@ def lease_read_through(spark, sf_dir):
     return answers
 
 
-@query("drf_allocation")
+@query(
+    "drf_allocation",
+    """
+WITH RECURSIVE n AS (
+  SELECT n_regionkey AS cluster, list(n_name ORDER BY n_name) AS names, list((1 + n_nationkey % 4)::DOUBLE ORDER BY n_name) AS cpu, list((1 + n_nationkey % 7)::DOUBLE ORDER BY n_name) AS memory
+  FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1),
+s AS (
+  SELECT *, list_transform(names, lambda x: 0::BIGINT) AS t, 0 AS step FROM n
+  UNION ALL
+  SELECT cluster, names, cpu, memory, list_transform(t, lambda x, i: x + (i = pick)::BIGINT), step + 1
+  FROM (SELECT *, list_position(share, list_min(share)) AS pick
+        FROM (SELECT *, list_transform(t, lambda x, i: greatest(x * cpu[i] / 90::DOUBLE, x * memory[i] / 180::DOUBLE)) AS share FROM s))
+  WHERE list_sum(list_transform(t, lambda x, i: x * cpu[i])) + cpu[pick] <= 90 AND list_sum(list_transform(t, lambda x, i: x * memory[i])) + memory[pick] <= 180),
+z AS (SELECT cluster, arg_max(t, step) AS t FROM s GROUP BY 1),
+e AS (SELECT cluster, unnest(names) AS node, unnest(t) AS tasks, unnest(cpu) AS cpu, unnest(memory) AS memory FROM z JOIN n USING (cluster))
+SELECT cluster, node, tasks, greatest(tasks * cpu / 90::DOUBLE, tasks * memory / 180::DOUBLE) AS share FROM e
+""",
+)
 def drf_allocation(spark, sf_dir):
     """Nations share their region's capacity."""
     nations = table(spark, sf_dir, "nation")

@@ -96,23 +96,34 @@ def bloom_guess(spark, sf_dir):
     return spark.createDataFrame(rows, "n bigint, p double, m bigint, k int, m_adjusted bigint")
 
 
-@query("bloom_membership")
+MEMBERS = Bloom.guess(20_000, 0.001)
+
+
+@query(
+    "bloom_membership",
+    f"""
+WITH added AS (SELECT DISTINCT unnest({sql.bloom_cells(MEMBERS.m, MEMBERS.k)}) AS idx FROM ({sql.siphash_short("SELECT DISTINCT o_custkey::VARCHAR AS item FROM orders WHERE o_custkey IS NOT NULL")})),
+asked AS (SELECT item, {sql.bloom_cells(MEMBERS.m, MEMBERS.k)} AS cells FROM ({sql.siphash_short("SELECT DISTINCT c_custkey::VARCHAR AS item FROM customer WHERE c_custkey IS NOT NULL")})),
+probes AS (SELECT item, unnest(cells) AS idx FROM asked)
+SELECT item AS c_custkey, count(*) = count(added.idx) AS exist FROM probes LEFT JOIN added ON probes.idx = added.idx GROUP BY item
+""",
+)
 def bloom_membership(spark, sf_dir):
     """Which customers may have orders, by a bit filter of the orders' customers."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    one = Bloom.guess(20_000, 0.001)
-    return one.exist(one.build_bits(orders, "o_custkey"), customers, "c_custkey")
+    return MEMBERS.exist(MEMBERS.build_bits(orders, "o_custkey"), customers, "c_custkey")
 
 
 @query("bloom_semi_join", "SELECT l_partkey, count(*) AS lines FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 5) GROUP BY 1")
 def bloom_semi_join(spark, sf_dir):
-    """A filter of the wanted parts thins the lines' keys out before the exact semi join."""
+    """Lines by part, of the parts in a filter; the exact semi join takes out what the filter lets through by chance."""
     wanted = table(spark, sf_dir, "part").filter("p_size <= 5").select("p_partkey")
-    counts = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("lines"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey")
     one = Bloom.guess(20_000, 0.01)
-    maybe = one.exist(one.build_bits(wanted, "p_partkey"), counts, "l_partkey").filter("exist").select(F.col("l_partkey").cast("bigint").alias("k"))
-    thinned = counts.join(maybe, counts.l_partkey == maybe.k, "left_semi")
-    return thinned.join(wanted, thinned.l_partkey == wanted.p_partkey, "left_semi")
+    maybe = one.exist(one.build_bits(wanted, "p_partkey"), lines, "l_partkey").filter("exist").select(F.col("l_partkey").cast("bigint").alias("k"))
+    counts = lines.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("lines"))
+    passed = counts.join(maybe, counts.l_partkey == maybe.k, "left_semi")
+    return passed.join(wanted, passed.l_partkey == wanted.p_partkey, "left_semi")
 
 
 @query("bloom_counting_remove", "SELECT count(*) FILTER (WHERE p_partkey % 2 = 1)::BIGINT AS kept_found FROM part")
@@ -142,6 +153,38 @@ SELECT layer::INTEGER AS layer, count(*) AS additions FROM l GROUP BY layer
 """
 
 
+def _scalable_sql() -> str:
+    cells, first = [], 0
+    hashed = sql.siphash_short("SELECT DISTINCT p_partkey::VARCHAR AS item FROM part")
+    for i in range(60):
+        one = SCALABLE.layer(i)
+        opened = first + SCALABLE.capacity(i)
+        cells.append((i, first, opened, one.m, one.k))
+        first = opened
+    rows = ", ".join(f"({i}, {a}, {b}, {m}::HUGEINT, {k})" for i, a, b, m, k in cells)
+    spots = f"list_distinct(list_transform(range(0, k), lambda i: ((h // ({1 << 63}::HUGEINT // (m // 2)) + (h % m) * i) % m)::BIGINT))"
+    return f"""
+WITH b(layer, first_, after_, m, k) AS (VALUES {rows}),
+h AS ({hashed}),
+n AS (SELECT item, row_number() OVER (ORDER BY item::BIGINT) - 1 AS i FROM h WHERE item::BIGINT % 3 <> 0),
+added AS (SELECT DISTINCT layer, unnest({spots}) AS idx FROM n JOIN h USING (item) JOIN b ON i >= first_ AND i < after_),
+open_ AS (SELECT layer, m, k FROM b WHERE first_ < (SELECT count(*) FROM n) OR layer = 0),
+probes AS (SELECT item, layer, unnest({spots}) AS idx FROM h, open_),
+each AS (SELECT item, probes.layer, count(*) = count(added.idx) AS exist FROM probes LEFT JOIN added ON probes.layer = added.layer AND probes.idx = added.idx GROUP BY 1, 2)
+SELECT item AS p_partkey, bool_or(exist) AS exist FROM each GROUP BY 1
+"""
+
+
+@query("bloom_scalable_membership", _scalable_sql())
+def bloom_scalable_membership(spark, sf_dir):
+    """Which parts a scalable filter holds, into which two of three went."""
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    added = numbered(parts.filter("p_partkey % 3 != 0"), ["p_partkey"])
+    additions = added.count()
+    cells = SCALABLE.build(added, "p_partkey", "n", additions)
+    return SCALABLE.exist(cells, parts, "p_partkey", additions)
+
+
 @query("bloom_scalable_layers", _layers_sql())
 def bloom_scalable_layers(spark, sf_dir):
     parts = numbered(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"])

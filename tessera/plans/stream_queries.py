@@ -156,9 +156,42 @@ def backoff_jitter(spark, sf_dir):
     return drawn.select("retries", F.col("full").between(0, F.col("e")).alias("full_ok"), F.col("equal").between(F.col("e") / 2, F.col("e")).alias("equal_ok"), F.col("delay").between(0.5, 60.0).alias("decorrelated_ok"))
 
 
-@query("deque_fold")
+@query(
+    "token_wait",
+    f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) * 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL),
+s AS (
+  SELECT user_id, event_id, i, t AS last, {BURST - 1}::DOUBLE AS tokens, 0::DOUBLE AS wait FROM e WHERE i = 1
+  UNION ALL
+  SELECT user_id, event_id, i, CASE WHEN have >= 1 THEN t ELSE last END, CASE WHEN have >= 1 THEN have - 1 ELSE tokens END, CASE WHEN have < 1 THEN trunc(1000000000::DOUBLE * ((1 - have) / {LIMIT}::DOUBLE)) ELSE 0 END
+  FROM (SELECT e.*, s.last, s.tokens, least(s.tokens + least(e.t - s.last, trunc(1000000000::DOUBLE * (({BURST} - s.tokens) / {LIMIT}::DOUBLE))) / 1000000000::DOUBLE * {LIMIT}::DOUBLE, {BURST}::DOUBLE) AS have
+        FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))
+SELECT user_id, event_id, wait::BIGINT AS wait_ns FROM s
+""",
+)
+def token_wait(spark, sf_dir):
+    return folds.token_waits(table(spark, sf_dir, "events"), KEY, TS, ID, LIMIT, BURST).select(KEY, ID, "wait_ns")
+
+
+DEQUE = ("push_left", "push_right", "push_right", "pop_left", "push_left", "pop_right", "remove")
+_OP = f"[{', '.join(repr(o) for o in DEQUE)}][(event_id % {len(DEQUE)})::INT + 1]"
+
+
+@query(
+    "deque_fold",
+    f"""
+WITH RECURSIVE e AS (SELECT user_id, {_OP} AS op, event_id % 5 AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE user_id IS NOT NULL),
+s AS (
+  SELECT user_id, 0::BIGINT AS i, []::BIGINT[] AS items FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT e.user_id, e.i, CASE op WHEN 'push_left' THEN list_prepend(value, items) WHEN 'push_right' THEN list_append(items, value) WHEN 'pop_left' THEN items[2:] WHEN 'pop_right' THEN items[:len(items) - 1]
+    ELSE CASE WHEN list_contains(items, value) THEN items[:list_position(items, value) - 1] || items[list_position(items, value) + 1:] ELSE items END END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT user_id, array_to_string(arg_max(items, i), ',') AS items FROM s GROUP BY 1
+""",
+)
 def deque_fold(spark, sf_dir):
     """Events as a log of deque operations for each user."""
-    ops = F.array(*(F.lit(o) for o in ("push_left", "push_right", "push_right", "pop_left", "pop_right")))
-    log = table(spark, sf_dir, "events").select(KEY, F.col(ID).alias("seq"), F.get(ops, F.pmod("event_id", F.lit(5)).cast("int")).alias("op"), F.col(ID).alias("value"))
-    return folds.deques(log, KEY, "seq", "op", "value")
+    ops = F.array(*(F.lit(o) for o in DEQUE))
+    log = table(spark, sf_dir, "events").select(KEY, F.col(ID).alias("seq"), F.get(ops, F.pmod("event_id", F.lit(len(DEQUE))).cast("int")).alias("op"), (F.col(ID) % 5).alias("value"))
+    return folds.deques(log, KEY, "seq", "op", "value").select(KEY, F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
