@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from tessera.llm import brown_lm, fingerprints, langid, licenses, line_dedup, mixing, packing, pii, simhash_dedup, topk
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_class_lm": brown_lm.op9_class_lm,
         "op10_topk_inner_product": topk.op10_topk_inner_product,
-        "pipeline": corpus_pipeline.run,
     }
 
 
