@@ -13,7 +13,8 @@ models were not fitted on) and half-way to that of random letters, or when it
 has no letter.
 
 The models are fitted on a sample of labelled rows: at most DOCS_PER_LANGUAGE
-documents a language and DOCS in all, chosen by a hash of the id. Every
+documents a language, DOCS and CODE_POINTS in all, chosen by a hash of the id,
+of the LANGUAGES most frequent labels (rows of others teach nothing). Every
 document is scored over its whole text. Work per task is bounded by an Arrow
 batch and a cache of CACHE words.
 
@@ -39,8 +40,11 @@ from tessera.llm.common import map_arrow, table
 
 ORDER = 5
 DOCS_PER_LANGUAGE, DOCS = 1500, 30_000
+#: Code points to fit on, in all (in expectation: documents are taken whole), and labels that are told apart, most frequent first.
+CODE_POINTS, LANGUAGES = 120_000_000, 500
 CACHE = 300_000
-#: Words scored at once, and symbols beyond which a text counts as long.
+#: Words scored at once, and symbols beyond which a text counts as long when it may be rejected: texts of one language
+#: differ in what they are about, so the spread of their cross-entropy does not shrink further with their length.
 AT_ONCE, LONG = 20_000, 400
 #: Distance above a language's mean cross-entropy that is still accepted, in units of the largest seen in calibration.
 MARGIN = 2.0
@@ -95,8 +99,8 @@ class Models:
     mean: np.ndarray | None = None
     limit: np.ndarray | None = None
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities by word and language, and symbols (letters and word ends) by word."""
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities by symbol (letters and word ends, in order) and language, and each symbol's word."""
         x, place, word = _symbols(words)
         grams = _grams(x)
         said = np.flatnonzero(place > 0)
@@ -113,9 +117,14 @@ class Models:
             total[missing[seen]] += level.weights[at[seen]]
             open_ = np.concatenate([open_[~reach], missing])
         total[open_] -= np.log(self.alphabet)
+        return total, word[said]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities by word and language, and symbols by word."""
+        total, word = self.symbols(words)
         out = np.zeros((len(words), len(self.languages)), np.float32)
-        np.add.at(out, word[said], total)
-        return out, np.bincount(word[said], minlength=len(words))
+        np.add.at(out, word, total)
+        return out, np.bincount(word, minlength=len(words))
 
 
 def fit(counts: dict[str, dict[str, int]]) -> Models:
@@ -215,7 +224,7 @@ def _score(batches: Iterator[pa.RecordBatch], models: Models) -> Iterator[pa.Rec
         best = mean.argmax(axis=1)
         at = np.arange(len(best))
         entropy = -mean[at, best]
-        sure = 1 / np.exp((mean - mean[at, best][:, None]) * np.minimum(n, LONG)[:, None]).sum(axis=1)
+        sure = 1 / np.exp((mean - mean[at, best][:, None]) * n[:, None]).sum(axis=1)
         reject = n == 0
         if models.limit is not None:
             above = entropy - models.mean[best]
@@ -236,12 +245,13 @@ def score(df: DataFrame, models: Models, key: str, text: str = "text") -> DataFr
 def train(labelled: DataFrame) -> Models | None:
     """Models from the rows of ``labelled`` (``doc_id, text, lang``) with a label; None if there are none."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.length("text")).alias("h"))
-    totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not totals:
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("size")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    found = {r.lang: (r.n, r["size"]) for r in sizes.collect()}
+    if not found:
         return None
-    each = min(DOCS_PER_LANGUAGE, DOCS // len(totals)) or 1
+    each, size = min(DOCS_PER_LANGUAGE, DOCS // len(found)) or 1, CODE_POINTS / len(found)
     # each language keeps the hashes below its share of the range
-    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, each / n))) for k, n in sorted(totals.items())))
+    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, each / n, size / max(1, z)))) for k, (n, z) in sorted(found.items())))
     unit = F.pmod("h", F.lit(1 << 20)) / float(1 << 20)
     sample = rows.filter(unit < share[F.col("lang")]).withColumn("half", F.shiftright("h", 20) % 2 == 0)
     counted = map_arrow(sample.filter("half").select("lang", "text"), _count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))

@@ -34,7 +34,7 @@ SPELLINGS = [
     (r"per cent", "percent"),
 ]
 #: A line that states a copyright: removed, whoever holds it.
-COPYRIGHT = r"(?m)^[^a-z0-9©\n]*(?:(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©)?[ \t]*(?:[0-9]{4}|<year>|\[year\]|\[yyyy\])|all rights reserved)[^\n]*$"
+COPYRIGHT = r"(?m)^[^a-z0-9©\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|<year>|\[year\]|\[yyyy\])|\(c\)[ \t]*(?:copyright|[0-9]{4}|<year>|\[year\]|\[yyyy\])|©|all rights reserved)[^\n]*$"
 
 #: Every text that a spelling or COPYRIGHT changes holds one of these.
 SPELLING_ANCHORS = ("http", "&", "licence", "sub-licens", "sub licens", "non-commercial", "non commercial", "non-infringement", "non infringement", "copyright", "(c)", "©", "all rights reserved", "merchantibility", "per cent")
@@ -75,6 +75,24 @@ KNOWN = [
 ]
 
 
+#: Digests of canonical whole texts that are too long to list. Fixed values.
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "02a121bd244e30cfc02945b4ab6cd6889c41442a58d076deb3bd196c30c61806"),
+    ("GFDL-1.3-only", "d2f6b83bca2ec722ccbe6ee61ccf9c409b4597182b2cbdfcbb086c74086abe33"),
+    ("GPL-1.0-only", "596622575bcd3d827e7f6bce1f02e32bed2edeb0e9d8ce0d39441ba10031d1aa"),
+    ("GPL-2.0-only", "632eed5ccd9536a119e4736f4111f5ea096d69650e17f4a3fcacb4d273e39aec"),
+    ("GPL-3.0-only", "6d9d9a5aef0ead5d961185bbca615afe9d91b49edf03203bfb54e5a71f07a03b"),
+    ("LGPL-2.0-only", "87c83ddf13b8d772a493615bbfb7368fb6c87b179e064f6b4573dd9008cbd283"),
+    ("LGPL-2.1-only", "4b7fd8442d92b28972b9aee4eb75166ac0ea6267095bdcdbe488d5f54b725b71"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "8b43f0ebc3e4d95bf2763eca63bbd86458f43d516345591663b1186d2d11e18e"),
+]
+
+
 def _has(low: Column, anchors: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for a in anchors:
@@ -95,22 +113,31 @@ def digest(low: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+def digests(texts: DataFrame) -> DataFrame:
+    """``known_digest, license_id`` of known texts (``license_id, text``)."""
+    return texts.select("license_id", digest(F.lower("text")).alias("known_digest")).filter("known_digest IS NOT NULL").groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
+
+
 def known(spark: SparkSession) -> DataFrame:
-    """``known_digest, license_id``: at most one row per entry of KNOWN."""
+    """``known_digest, license_id``: of KNOWN and KNOWN_DIGESTS."""
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in KNOWN)))
-    listed = spark.range(1).select(rows.alias("r")).select("r.license_id", digest(F.lower("r.text")).alias("known_digest"))
-    return listed.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
+    whole = F.explode(F.array(*(F.struct(F.lit(d).alias("known_digest"), F.lit(k).alias("license_id")) for k, d in KNOWN_DIGESTS)))
+    return digests(spark.range(1).select(rows.alias("r")).select("r.*")).unionByName(spark.range(1).select(whole.alias("r")).select("r.*"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``doc_id, line, digest, license_id``: a row for the whole text of every document (line 0, licence null if unknown), and one for each whole line that is a known text."""
+def scan(docs: DataFrame, key: str = "doc_id", table_: DataFrame | None = None) -> DataFrame:
+    """``doc_id, line, digest, license_id``, by the table of :func:`known` or one that :func:`digests` made of other texts (then every line gets a digest): a row for the whole text of every document (line 0, licence null if unknown), and one for each whole line that is a known text."""
     low = F.col("low")
+
+    def anchored(x: Column) -> Column:
+        return F.lit(True) if table_ is not None else _has(x, KNOWN_ANCHORS)
+
     rows = docs.select(F.col(key).alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    lines = F.filter(F.transform(F.split(low, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit"))), lambda u: _has(u["unit"], KNOWN_ANCHORS))
+    lines = F.filter(F.transform(F.split(low, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit"))), lambda u: anchored(u["unit"]))
     none = F.array().cast("array<struct<line:int,unit:string>>")
     whole = F.array(F.struct(F.lit(0).alias("line"), low.alias("unit")))
-    units = rows.select("doc_id", F.explode(F.concat(whole, F.when(_has(low, KNOWN_ANCHORS), lines).otherwise(none))).alias("u")).select("doc_id", "u.line", digest(F.col("u.unit")).alias("digest"))
-    found = units.join(known(docs.sparkSession), F.col("digest") == F.col("known_digest"), "left")
+    units = rows.select("doc_id", F.explode(F.concat(whole, F.when(anchored(low), lines).otherwise(none))).alias("u")).select("doc_id", "u.line", digest(F.col("u.unit")).alias("digest"))
+    found = units.join(known(docs.sparkSession) if table_ is None else table_, F.col("digest") == F.col("known_digest"), "left")
     return found.filter((F.col("line") == 0) | F.col("license_id").isNotNull()).select("doc_id", "line", "digest", "license_id")
 
 
@@ -132,7 +159,8 @@ def _quoted(text: str) -> str:
 OP7_SQL = f"""
 WITH k AS (
   SELECT sha256({_sql_form("t")}) AS d, min(id) AS license_id
-  FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)}) AS v(id, t) GROUP BY 1),
+  FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)}) AS v(id, t) GROUP BY 1
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"('{d}', '{i}')" for i, d in KNOWN_DIGESTS)}) AS w(d, license_id)),
 u AS (
   SELECT doc_id, 0 AS line, coalesce(text, '') AS unit FROM documents
   UNION ALL
