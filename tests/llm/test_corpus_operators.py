@@ -530,17 +530,80 @@ def test_block_pairs_out_of_reach_are_not_made(spark):
     assert got == [(0, c) for c in range(6)] + [(1, c) for c in range(3)] + [(2, 0), (2, 1)]
 
 
-def test_pipeline(spark, docs, tmp_path):
+def plain_line_dedup(rows):
+    """The texts of rows (id, text) after exact and near repeats of lines went, and those of which nothing is left."""
+    key = lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest(r[1].encode(), seed=42) - (1 << 64) * (xxhash.xxh64_intdigest(r[1].encode(), seed=42) >> 63) if r[1] is not None else 42)
+    order = sorted(set(rows), key=key)
+    first = {}
+    for n, (_, t) in enumerate(order):
+        for i, x in enumerate((t or "").split("\n")):
+            if len(x) >= line_dedup.EXACT_LENGTH:
+                first.setdefault(x, (n, i))
+    long = [x for x in first if line_dedup.MIN_LENGTH <= len(x) < 2000]
+    near = {x for x in long if any(first[y] < first[x] and abs(len(x) - len(y)) <= 2 and levenshtein(x, y) <= 2 for y in long)}
+    out = {}
+    for n, (d, t) in enumerate(order):
+        lines = (t or "").split("\n")
+        kept = [x for i, x in enumerate(lines) if len(x) < line_dedup.EXACT_LENGTH or (first[x] == (n, i) and x not in near)]
+        out[d, t] = t if len(kept) == len(lines) else "\n".join(kept)
+    return {k: v for k, v in out.items() if v == k[1] or v.strip(" ")}
+
+
+def plain_near_dedup(rows):
+    """The (id, text) of one row of each component of five-word shingles."""
+    sets = [plain_shingles(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return union_find(len(rows), links)
+
+
+def test_each_stage_of_the_pipeline(spark, docs, doc_rows, tmp_path):
+    from tessera.llm import langid
+
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    plain.write.parquet(str(tmp_path / "documents.parquet"))
-    at = plain
+    rng = random.Random(17)
+    lines = [x for _, t, *_ in doc_rows for x in (t or "").split("\n") if 40 < len(x) < 300]
+    more = [(2000 + i, "\n".join(rng.sample(lines, 3) + [f"a line of document {i}, number {rng.random()}"]), "en", "s2", 1) for i in range(20)]
+    more += [(None, "a text without an id " * 4, "de", None, 1), (None, "a text without an id " * 4, "de", None, 1)]
+    plain.union(spark.createDataFrame(more, plain.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    pair = lambda r: (r.doc_id, r.text)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, at = at, stage(spark, at, str(tmp_path))
-        assert at.columns == plain.columns, name
-        at.write.parquet(str(tmp_path / name))
-        at = spark.read.parquet(str(tmp_path / name))
-        assert at.count() > 0 and before.count() > 0
-    pieces = corpus_pipeline.run(spark, str(tmp_path))
-    assert pieces.select("doc_id").exceptAll(at.select("doc_id").union(pieces.select("doc_id"))).count() == 0
-    assert pieces.agg(F.sum("length")).first()[0] > 0
+        before = at.collect()
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == plain.columns, name
+        out.write.parquet(str(tmp_path / name))
+        was, at = at, spark.read.parquet(str(tmp_path / name))
+        after = at.collect()
+        assert after, name
+        if name == "language":
+            judged = langid.score(was.select(F.struct("*").alias("key"), "text"), langid.train(was), "key").collect()
+            assert Counter(map(pair, after)) == Counter(pair(r.key) for r in judged if not r.rejected)
+            assert any(r.rejected for r in judged) and all(r.key.text not in (None, "") for r in judged if not r.rejected)
+        elif name == "line-dedup":
+            want = plain_line_dedup(list(map(pair, before)))
+            assert Counter((r.doc_id, r.text) for r in after) == Counter((r.doc_id, want[pair(r)]) for r in before if pair(r) in want)
+            assert all(r.n_chars in (len(r.text), None) or pair(r) in map(pair, before) for r in after) and len(after) < len(before)
+        elif name == "near-dedup":
+            parts = dict(zip(map(pair, before), plain_near_dedup(list(map(pair, before)))))
+            assert Counter(parts[pair(r)] for r in after) == Counter(set(parts.values()))
+        else:
+            copies = {}
+            for r in mixing.mix(was).collect():
+                copies[r.doc_id, r.source] = r.copies
+            triple = lambda r: (r.doc_id, r.source, r.text)
+            assert Counter(map(triple, after)) == +Counter({k: n * copies[k[:2]] for k, n in Counter(map(triple, before)).items()})
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    want = Counter((r.doc_id, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in at.collect())
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = Counter()
+    for r in pieces:
+        got[r.doc_id, r.doc_tokens] += r.length
+    assert got == Counter({k: n * k[1] for k, n in want.items()})
     assert corpus_pipeline.STAGES[-1][1](spark, plain.filter("false"), "").count() == 0
+
+
+def test_stages_of_an_empty_table(spark, none):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none.select("doc_id", "text", "lang", "source", "n_chars"), "").count() == 0, name
