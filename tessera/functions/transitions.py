@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import random
 from collections import OrderedDict, deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 NS = 1_000_000_000
@@ -159,7 +159,7 @@ def batch_step(s: Batcher, now: float, count: int, timeout: float) -> tuple[Batc
     return Batcher(s.batch, s.size + 1, s.began), number
 
 
-def deque_fold(ops: list[tuple[str, object]]) -> tuple[list, list]:
+def deque_fold(ops: Iterable[tuple[str, object]]) -> tuple[list, list]:
     """The final deque and each operation's result, from ``push_left, push_right, pop_left, pop_right, remove`` in order."""
     d: deque = deque()
     results = []

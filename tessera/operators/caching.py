@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.transitions import LruCache
+from tessera.operators.folds import by_key
 
 
 def lru_contents(trace: DataFrame, key: str, seq: list[str], capacity: int) -> DataFrame:
@@ -44,20 +45,22 @@ def lru_hits(trace: DataFrame, key: str, seq: list[str], capacity: int, by: str)
 def lru_log(log: DataFrame, cache: str, seq: str, op: str, key: str, capacity: int) -> DataFrame:
     """``cache, purged, key``: keys in the order they were purged, from a log of add, get, remove, remove_oldest and clear."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq, kind="stable")
-        one = LruCache(capacity)
-        for o, k in zip(pdf[op], pdf[key]):
+    def run(name, rows):
+        one, purged = LruCache(capacity), 0
+        for _, _, o, k in rows:
             if o == "add":
                 one.add(k, True)
             elif o in ("get", "remove"):
                 getattr(one, o)(k)
             else:
                 getattr(one, o)()
-        return pd.DataFrame({cache: pdf[cache].iloc[0], "purged": range(len(one.purged)), key: [k for k, _ in one.purged]})
+            for gone, _ in one.purged:
+                yield name, purged, gone
+                purged += 1
+            one.purged.clear()
 
     schema = T.StructType([log.schema[cache], T.StructField("purged", T.LongType()), log.schema[key]])
-    return log.select(cache, seq, op, key).groupBy(cache).applyInPandas(run, schema)
+    return by_key(log.select(cache, seq, op, key), cache, [seq], run, schema)
 
 
 def read_through(requests: DataFrame, key: str, cached: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:

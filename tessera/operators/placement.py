@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.hashing import crc64, crc64_hash
+from tessera.operators.folds import in_turn
 
 REPLICAS, BALANCE = 10, 1.25
 #: The ring must be small enough to go to every task: nodes times replicas.
@@ -99,15 +100,13 @@ class BoundedRing:
 
 
 def place_bounded(keys: DataFrame, key: str, seq: str, nodes: list[str], group: str, balance: float = BALANCE) -> DataFrame:
-    """``group, key, seq, node``: keys of each group placed one after another by ``seq``. A group's rows meet in one task, since each placement depends on those before it."""
+    """``group, key, seq, node``: keys of each group placed one after another by ``seq``. A group's rows are one task's stream, since each placement depends on those before it; it holds the loads alone."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = BoundedRing(nodes, balance=balance)
-        pdf = pdf.sort_values([seq, key], kind="stable")
-        return pdf.assign(node=[one.place(k) for k in pdf[key]])
+    def advance(one, k):
+        return one, one.place(k)
 
-    schema = T.StructType([*keys.select(group, key, seq).schema.fields, T.StructField("node", T.StringType())])
-    return keys.filter(F.col(key).isNotNull()).select(group, key, seq).groupBy(group).applyInPandas(run, schema)
+    placed = keys.filter(F.col(key).isNotNull()).select(group, key, seq)
+    return in_turn(placed, group, [seq, key], lambda g: BoundedRing(nodes, balance=balance), advance, [key], node=T.StringType())
 
 
 def loads(deltas: DataFrame, node: str = "node", delta: str = "delta") -> DataFrame:
@@ -122,14 +121,17 @@ def remove_nodes(points: DataFrame, gone: DataFrame) -> DataFrame:
 def subsets(backends: DataFrame, clients: DataFrame, size: int, backend: str = "backend", client: str = "client") -> DataFrame:
     """``client, backend``: clients of one round (as many as there are whole subsets) get disjoint subsets of a list that is shuffled anew for each round. Left-over backends are not used.
 
-    The shuffle orders by the MD5 of round and backend.
+    The shuffle orders by the MD5 of round and backend. Rounds are as many as clients divided by the subsets of one, so the
+    shuffled lists have about as many rows as the result. The list goes to every task; it has at most MOST_POINTS backends.
     """
     n = backends.count()
     if size < 1 or size > n:
         raise ValueError("a subset has from one to all backends")
+    if n > MOST_POINTS:
+        raise ValueError(f"a list has at most {MOST_POINTS} backends")
     count = n // size
     rounds = clients.filter(F.col(client).isNotNull()).select(F.col(client).alias("client"), F.floor(F.col(client) / count).cast("bigint").alias("round"), F.pmod(F.col(client), F.lit(count)).alias("part"))
-    each = rounds.select("round").distinct().join(backends.select(F.col(backend).alias("backend")).withColumn("_all", F.lit(1)), F.col("_all") == 1)
+    each = rounds.select("round").distinct().join(F.broadcast(backends.select(F.col(backend).alias("backend")).withColumn("_all", F.lit(1))), F.col("_all") == 1)
     place = F.row_number().over(Window.partitionBy("round").orderBy(F.md5(F.concat_ws(":", F.col("round").cast("string"), F.col("backend")).cast("binary")), "backend")) - 1
     shuffled = each.withColumn("part", F.floor(place / size)).select("round", "part", "backend")
     return rounds.join(shuffled, ["round", "part"]).select("client", "backend")
