@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import numbered, running_max, running_sum
+from tessera.operators.ordering import numbered, prefixes, running_sum
 
 #: Start of flake ids where none is given.
 FLAKE_START = datetime(2019, 10, 9, tzinfo=timezone.utc)
@@ -19,10 +19,13 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     return numbered(df, order, name)
 
 
+def _asked(n: str) -> Column:
+    return F.when(F.col(n) >= 1, F.col(n)).otherwise(F.raise_error(F.lit("n must be positive")).cast("bigint"))
+
+
 def reserved_ids(df: DataFrame, order: list[str], n: str, name: str = "id") -> DataFrame:
     """The first of the ``n`` numbers that each row reserves; rows that ask for fewer than one fail the query."""
-    asked = F.when(F.col(n) >= 1, F.col(n)).otherwise(F.raise_error(F.lit("n must be positive")).cast("bigint"))
-    return running_sum(df, order, asked, name)
+    return running_sum(df, order, _asked(n), name)
 
 
 def flake_bits(bits: int) -> int:
@@ -41,19 +44,17 @@ def flake_ids(df: DataFrame, order: list[str], ts: str, start: datetime = FLAKE_
 
     The recurrence e(i) = max(t(i), e(i-1) + 1) is the running maximum of t(i) - i, plus i.
     """
-    bits = flake_bits(bits)
-    counted = numbered(df, order, "_i").withColumn("_t", F.shiftleft(_elapsed(ts, start), bits))
-    return running_max(counted, order, F.col("_t") - F.col("_i"), "_m").withColumn(name, F.col("_m") + F.col("_i")).drop("_i", "_t", "_m")
+    return flake_ranges(df, order, ts, None, start, bits, name)
 
 
-def flake_ranges(df: DataFrame, order: list[str], ts: str, n: str, start: datetime = FLAKE_START, bits: int = FLAKE_BITS, name: str = "id") -> DataFrame:
+def flake_ranges(df: DataFrame, order: list[str], ts: str, n: str | None, start: datetime = FLAKE_START, bits: int = FLAKE_BITS, name: str = "id") -> DataFrame:
     """The first of the ``n`` ids that each row reserves, as :func:`flake_ids`; rows that ask for fewer than one fail the query.
 
     With s(i) the ids reserved before row i, e(i) = max(t(i), e(i-1) + n(i-1)) is the running maximum of t(i) - s(i), plus s(i).
     """
-    bits = flake_bits(bits)
-    counted = reserved_ids(df, order, n, "_s").withColumn("_t", F.shiftleft(_elapsed(ts, start), bits))
-    return running_max(counted, order, F.col("_t") - F.col("_s"), "_m").withColumn(name, F.col("_m") + F.col("_s")).drop("_s", "_t", "_m")
+    first = F.shiftleft(_elapsed(ts, start), flake_bits(bits))
+    counted = prefixes(df, order, F.lit(1) if n is None else _asked(n), first, "_before", "_ahead")
+    return counted.withColumn(name, F.col("_ahead") + F.col("_before")).drop("_before", "_ahead")
 
 
 def flake_parts(id_: Column, bits: int = FLAKE_BITS) -> Column:

@@ -89,6 +89,23 @@ def test_numbering_is_dense_whatever_the_partitions(spark):
     assert ordering.numbered(rows.filter("false"), ["k"]).count() == 0
 
 
+def test_running_greatest_and_ranks_beyond_the_heap(spark, monkeypatch):
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 7 != 0, F.col("id") * 7919 % 1009).alias("v"))
+    plain, best = [], None
+    for r in rows.orderBy("id").collect():
+        best = max((x for x in (best, r.v) if x is not None), default=None)
+        plain.append(best)
+    assert [r.m for r in ordering.running_max(rows, ["id"], F.col("v"), "m").orderBy("id").collect()] == plain
+    monkeypatch.setattr(ordering, "HEAP", 0)
+    known = sorted(r.v for r in rows.collect() if r.v is not None)
+    for k in (1, 2, 900, len(known)):
+        assert ordering.kth_smallest(rows, "v", k).first()[0] == known[k - 1]
+    assert ordering.kth_smallest(rows, "v", len(known) + 1).count() == 0
+    assert ordering.kth_smallest(rows.withColumn("v", F.format_string("%04d", "id")), "v", 1234).first()[0] == "1233"
+    plan = ordering.numbered(rows, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_ordered_map(spark):
     ops = [("set", "A", 1), ("set", "B", 2), ("set", "C", 3), ("set", "D", 4), ("set", "E", 5), ("set", "C", 9), ("remove", "X", 0), ("remove", "D", 0)]
     log = spark.createDataFrame([(i, *o) for i, o in enumerate(ops)], "seq int, op string, key string, value bigint")
