@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import numbered
-from tessera.operators.storage import shared_dir
+from tessera.operators.storage import cut
 
 THRESHOLD, STEADY, EVERY = 1e-10, 3, 8
 
@@ -21,13 +21,13 @@ def push_sum(readings: DataFrame, node: str, value: str, rounds: int = 60, thres
     estimate changed by at most ``threshold``; the loop ends early when all have
     STEADY of them. Lineage is cut every EVERY rounds in the shared folder.
     """
-    shared_dir(readings.sparkSession)
     numbers = readings.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.first(value).cast("double").alias("value"), (F.bool_and(active) if active else F.lit(True)).alias("active"))
     numbers = numbered(numbers, ["node"], "i").withColumn("i", F.col("i").cast("int"))
     n = numbers.count()
     if n < 2:
         return numbers.select("node", F.col("value").alias("estimate"), F.lit(0).alias("steady"))
-    at = numbers.select("node", "i", "active", "value", F.lit(1.0).alias("weight"), F.lit(0).alias("steady")).checkpoint()
+    at = numbers.select("node", "i", "active", "value", F.lit(1.0).alias("weight"), F.lit(0).alias("steady"))
+    at = cut(at)
     for step in range(rounds):
         peer = F.pmod(F.col("i") + 1 + F.pmod(F.xxhash64("i", F.lit(step)), F.lit(n - 1)), F.lit(n)).cast("int")
         kept = F.when(F.col("active"), F.lit(0.5)).otherwise(F.lit(0.0))
@@ -39,7 +39,7 @@ def push_sum(readings: DataFrame, node: str, value: str, rounds: int = 60, thres
         moved = F.abs(F.try_divide("value", "weight") - F.col("own.before"))
         at = sums.select("own.node", "i", "own.active", "value", "weight", F.when(moved <= threshold, F.col("own.steady") + 1).otherwise(0).alias("steady"))
         if step % EVERY == EVERY - 1:
-            at = at.checkpoint()
+            at = cut(at)
             if not at.filter(F.col("active") & (F.col("steady") < STEADY)).take(1):
                 break
     return at.select("node", F.try_divide("value", "weight").alias("estimate"), "steady")

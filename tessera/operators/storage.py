@@ -56,6 +56,5 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept; for small tables that several jobs read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, computed once and kept; for small tables that several jobs or rounds read. They are removed with the others, which checkpoint files are not."""
+    return written(df, "cut")

@@ -5,17 +5,20 @@ writable. Options: ``type_bytes`` and ``length_bytes`` (1, 2, 4 or 8; default 1
 and 2), little-endian. Rows are ``type bigint, payload binary``. A file that
 ends inside a record ends the stream at its last whole record.
 
-Files are reached with Python, so their folder must be mounted on every
-executor; :func:`read_tlv` reads any store that Spark reads.
+A path with a scheme (``hdfs://``, ``s3://``, ``gs://``, ``file://``) is reached
+through Arrow's file systems by driver and executors alike; one without is a
+folder that is mounted on all of them. Records are read as a stream. Parts are
+written under names that readers ignore and moved when all are whole.
+:func:`read_tlv` reads any store that Spark reads, a file at a time (2 GB).
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -46,18 +49,28 @@ def decode_records(data: bytes, type_bytes: int = 1, length_bytes: int = 2) -> I
         at += head + size
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _files(path: str) -> list[str]:
+    """A file, or the record files of a folder, by name."""
+    store, at = _store(path)
+    if store.get_file_info(at).type == fs.FileType.File:
+        return [at]
+    return sorted(i.path for i in store.get_file_info(fs.FileSelector(at)) if i.type == fs.FileType.File and i.path.endswith(".tlv"))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.widths = options["path"], _widths(options)
 
     def partitions(self):
-        if os.path.isfile(self.path):
-            return [InputPartition(self.path)]
-        return [InputPartition(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.endswith(".tlv")]
+        return [InputPartition(f) for f in _files(self.path)]
 
     def read(self, partition):
-        with open(partition.value, "rb") as file:
-            type_bytes, length_bytes = self.widths
+        type_bytes, length_bytes = self.widths
+        with _store(self.path)[0].open_input_stream(partition.value, buffer_size=1 << 20) as file:
             while len(head := file.read(type_bytes + length_bytes)) == type_bytes + length_bytes:
                 size = int.from_bytes(head[type_bytes:], "little")
                 payload = file.read(size)
@@ -71,9 +84,10 @@ class _Writer(DataSourceWriter):
         self.path, self.widths, self.overwrite = options["path"], _widths(options), overwrite
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{uuid.uuid4().hex}")
-        with open(f"{name}.tmp", "wb") as file:
+        store, at = _store(self.path)
+        store.create_dir(at, recursive=True)
+        name = f"{at}/part-{uuid.uuid4().hex}"
+        with store.open_output_stream(f"{name}.tmp") as file:
             for row in rows:
                 file.write(encode_record(row[0], bytes(row[1] or b""), *self.widths))
         message = WriterCommitMessage()
@@ -81,17 +95,17 @@ class _Writer(DataSourceWriter):
         return message
 
     def commit(self, messages):
-        if self.overwrite:
-            for f in os.listdir(self.path):
-                if f.endswith(".tlv"):
-                    os.remove(os.path.join(self.path, f))
+        store = _store(self.path)[0]
+        for f in _files(self.path) if self.overwrite else ():
+            store.delete_file(f)
         for m in messages:
-            os.rename(f"{m.name}.tmp", f"{m.name}.tlv")
+            store.move(f"{m.name}.tmp", f"{m.name}.tlv")
 
     def abort(self, messages):
+        store = _store(self.path)[0]
         for m in messages:
-            if m is not None and os.path.exists(f"{m.name}.tmp"):
-                os.remove(f"{m.name}.tmp")
+            if m is not None and store.get_file_info(f"{m.name}.tmp").type == fs.FileType.File:
+                store.delete_file(f"{m.name}.tmp")
 
 
 class TlvSource(DataSource):

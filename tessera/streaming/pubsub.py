@@ -8,30 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-MESSAGE = "id string, data string"
+#: What a topic's payloads may be.
+PAYLOADS = ("string", "binary")
 
 
 class Topic:
-    """A folder of Parquet messages under the project's folder."""
+    """A folder of Parquet messages under the project's folder. Payloads are strings, or bytes that are kept as they are."""
 
-    def __init__(self, project: Project, name: str):
-        self.project, self.name = project, name
+    def __init__(self, project: Project, name: str, payload: str = "string"):
+        if payload not in PAYLOADS:
+            raise ValueError(f"payloads are one of {PAYLOADS}")
+        self.project, self.name, self.payload = project, name, payload
         self.path = f"{project.folder}/topics/{name}"
         self.subscriptions: dict[str, StreamingQuery] = {}
         self.stopped = False
 
+    @property
+    def schema(self) -> str:
+        return f"id string, data {self.payload}"
+
+    def errors(self) -> dict[str, str]:
+        """What subscriptions failed with, by name."""
+        return {name: str(query.exception()) for name, query in self.subscriptions.items() if query.exception() is not None}
+
     def publish(self, messages: DataFrame) -> None:
         """Messages ``data`` get an id unless they have one; they stay for later subscriptions too."""
         if self.stopped:
             raise RuntimeError("the topic is stopped")
         ids = F.col("id") if "id" in messages.columns else F.expr("uuid()")
-        messages.select(ids.cast("string").alias("id"), F.col("data").cast("string").alias("data")).write.mode("append").parquet(self.path)
+        messages.select(ids.cast("string").alias("id"), F.col("data").cast(self.payload).alias("data")).write.mode("append").parquet(self.path)
 
     def subscribe(self, name: str, receive: Callable[[DataFrame, int], None], workers: int = 1, once: bool = False) -> StreamingQuery:
         """Every subscription gets every message; ``receive(messages, batch)`` sees a ``worker`` column that deals each message to one of its workers."""
         if name in self.subscriptions and self.subscriptions[name].isActive:
             raise ValueError(f"subscription {name} exists")
-        stream = self.project.spark.readStream.schema(MESSAGE).parquet(self.path)
+        stream = self.project.spark.readStream.schema(self.schema).parquet(self.path)
         dealt = stream.withColumn("worker", worker_of(F.col("id"), workers))
         writer = dealt.writeStream.foreachBatch(receive).option("checkpointLocation", f"{self.project.folder}/subscriptions/{self.name}/{name}")
         query = (writer.trigger(availableNow=True) if once else writer).start()
@@ -55,11 +66,11 @@ class Project:
         self.spark, self.name, self.folder = spark, f"projects/{name}", folder
         self.topics: dict[str, Topic] = {}
 
-    def new_topic(self, name: str) -> Topic:
+    def new_topic(self, name: str, payload: str = "string") -> Topic:
         if name in self.topics:
             raise ValueError(f"topic {name} exists")
-        self.topics[name] = Topic(self, name)
-        self.spark.createDataFrame([], MESSAGE).write.mode("append").parquet(self.topics[name].path)
+        self.topics[name] = Topic(self, name, payload)
+        self.spark.createDataFrame([], self.topics[name].schema).write.mode("append").parquet(self.topics[name].path)
         return self.topics[name]
 
     def delete_topic(self, name: str) -> None:

@@ -74,6 +74,32 @@ def test_pubsub(spark, tmp_path):
         topic.publish(spark.createDataFrame([("z",)], "data string"))
 
 
+def test_topics_keep_bytes_and_tell_errors(spark, tmp_path):
+    project = pubsub.Project(spark, "p", str(tmp_path))
+    with pytest.raises(ValueError):
+        project.new_topic("none", "int")
+    topic, raw = project.new_topic("t", "binary"), bytes(range(256))
+    topic.publish(spark.createDataFrame([(bytearray(raw),)], "data binary"))
+    got = []
+    topic.subscribe("a", lambda df, n: got.extend(bytes(r.data) for r in df.collect()), once=True).awaitTermination()
+    assert got == [raw] and topic.errors() == {}
+
+    def fail(df, n):
+        raise RuntimeError("not received")
+
+    with pytest.raises(Exception, match="not received"):
+        topic.subscribe("b", fail, once=True).awaitTermination()
+    assert list(topic.errors()) == ["b"]
+
+
+def test_tlv_overwrites_through_a_scheme(spark, tmp_path):
+    spark.dataSource.register(tlv.TlvSource)
+    path = f"file://{tmp_path}/records"
+    for text in ("first", "second"):
+        spark.createDataFrame([(1, bytearray(text.encode()))], tlv.SCHEMA).write.format("tlv").mode("overwrite").save(path)
+    assert [bytes(r.payload) for r in spark.read.format("tlv").load(path).collect()] == [b"second"]
+
+
 def test_tlv(spark, tmp_path):
     rows = spark.createDataFrame([(8, bytearray(b"hola, tlv!")), (300, bytearray(b""))], "type bigint, payload binary")
     spark.dataSource.register(tlv.TlvSource)
