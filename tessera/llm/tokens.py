@@ -11,8 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Words, and pieces of words, that a process remembers: a generation of each, and the one before.
-CACHE = 200_000
+#: Words that a process remembers, the latest first, and pieces of words: a generation, and the one before.
+CACHE = 400_000
+PIECES = 100_000
 #: The tokenizer's own way of cutting lower-cased text; fixed value.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words of these characters only are cut here; all others go through the whole tokenizer.
@@ -33,8 +34,18 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of spans one after another."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and not (len(first) and int(first.max()) >= 1 << 31) else np.int64
+    out = np.repeat((first - ends + size).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
 class Recent(dict):
-    """The last CACHE entries or more, twice as many at most: what is asked for again moves to the newer half."""
+    """The last PIECES entries or more, twice as many at most: what is asked for again moves to the newer half."""
 
     def __init__(self):
         self.older: dict[str, bytes] = {}
@@ -46,7 +57,7 @@ class Recent(dict):
         return found
 
     def trim(self) -> None:
-        if len(self) >= CACHE:
+        if len(self) >= PIECES:
             self.older = dict(self)
             self.clear()
 
@@ -65,8 +76,10 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_letters()
-        self.words, self.pieces = Recent(), Recent()
-        self.words[""] = b""
+        self.pieces = Recent()
+        # remembered words, and their ids one after another
+        self.words, self.ids_of = pa.array([], pa.large_string()), np.zeros(0, "<u4")
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece) or self.pieces.recall(piece)
@@ -76,39 +89,55 @@ class WordTokens:
         return found
 
     def _word(self, word: str) -> bytes:
-        found = self.words.recall(word)
-        if found is not None:
-            return found
+        """Ids of a word whose ASCII letters are small."""
         if word.isascii() and word.isalpha():
-            found = self._piece(word.lower())
-        elif word.isascii() and word[-1] in ".,;:!?" and word[:-1].isalpha():
-            found = self._piece(word[:-1].lower()) + self._piece(word[-1])
-        elif PLAIN.fullmatch(word):
-            found = b"".join(map(self._piece, PIECE.findall(word.lower())))
-        else:
-            found = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        self.words[word] = found
-        return found
+            return self._piece(word)
+        if word.isascii() and word[-1:] in ".,;:!?" and word[:-1].isalpha():
+            return self._piece(word[:-1]) + self._piece(word[-1])
+        if PLAIN.fullmatch(word):
+            return b"".join(map(self._piece, PIECE.findall(word.lower())))
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids) if word else b""
+
+    def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each of these different words start and how many they are."""
+        few = 16 * len(words) < len(self.words)  # cutting a few words again takes less than a table of all remembered ones
+        at = pc.index_in(words, value_set=self.words[:0] if few else self.words)
+        new = pc.is_null(at)
+        found = list(map(self._word, words.filter(new).to_pylist()))
+        self.pieces.trim()
+        new = new.to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy()
+        ids = np.concatenate([self.ids_of, np.frombuffer(b"".join(found), "<u4")])
+        first, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        first[~new], size[~new] = self.first[at[~new]], self.size[at[~new]]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        first[new], size[new] = len(self.ids_of) + np.cumsum(sizes) - sizes, sizes
+        if 16 * len(found) > len(self.words):
+            self._remember(words, ids, first, size, at[~new])
+        return ids, first, size
+
+    def _remember(self, words: pa.Array, ids: np.ndarray, first: np.ndarray, size: np.ndarray, again: np.ndarray) -> None:
+        """These words, and those asked for before them, as far as they fit; what is left out is only cut again."""
+        older = np.ones(len(self.words), bool)
+        older[again] = False
+        kept = pa.concat_arrays([words, self.words.filter(pa.array(older))])[:CACHE]
+        first, size = (np.concatenate([x, y[older]])[:CACHE] for x, y in ((first, self.first), (size, self.size)))
+        self.words = pa.concat_arrays([kept])
+        self.ids_of = ids[_spans(first, size)]
+        self.first, self.size = np.cumsum(size) - size, size
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (null: none), and where each text starts in them, with the end last. Each different word is looked up once."""
         cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         coded = cut.flatten().dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        self.words.trim()
-        self.pieces.trim()
-        get, word = self.words.get, self._word
-        found = [x if x is not None else word(w) for w, x in zip(different, map(get, different))]
-        ids = np.frombuffer(b"".join(found), "<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        first = np.cumsum(size) - size
-        code = coded.indices.to_numpy()
+        offsets = cut.offsets.to_numpy()
+        # the words are made small, not the texts: ascii_lower reads slices of large strings at the wrong place
+        small = pc.ascii_lower(coded.dictionary).dictionary_encode()
+        ids, first, size = self._look_up(small.dictionary)
+        code = small.indices.to_numpy()[coded.indices.to_numpy()]
         sizes = size[code]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        out = ids[np.repeat(first[code] - ends + sizes, sizes) + np.arange(total)]
-        offsets = cut.offsets.to_numpy()
-        return out, np.append(0, ends)[offsets - offsets[0]]
+        return ids[_spans(first[code], sizes)], np.append(0, ends)[offsets - offsets[0]]
 
     def ids(self, text: str | None) -> np.ndarray:
         return self.of(pa.array([text], pa.string()))[0]
