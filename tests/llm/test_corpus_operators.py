@@ -607,3 +607,16 @@ def test_each_stage_of_the_pipeline(spark, docs, doc_rows, tmp_path):
 def test_stages_of_an_empty_table(spark, none):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none.select("doc_id", "text", "lang", "source", "n_chars"), "").count() == 0, name
+
+
+def test_remembered_words_do_not_change_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    plain, ours = Tokenizer.from_file(path), packing.tokenizer(path)
+    many = " ".join(f"w{i:x}" for i in range(30_000))
+    texts = [many, "", " ", "A\x1cB İ, ΣΑΣ", many.upper(), None, "a  b "]
+    for _ in range(3):
+        ids, at = ours.of(pa.array(texts, pa.string()))
+        for text, a, b in zip(texts, at, at[1:]):
+            assert ids[a:b].tolist() == plain.encode(text or "", add_special_tokens=False).ids
