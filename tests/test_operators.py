@@ -70,6 +70,15 @@ def test_scalable_bloom(spark):
     assert one.false_positive(999) < 0.05
 
 
+def test_scalable_bloom_of_thousands_of_layers(spark):
+    one, additions = ScalableBloom(0.01, 100), 1_200_000
+    bounds = one.bounds(additions)
+    assert len(bounds) > 5000 and one.p * one.r ** len(bounds) == 0
+    numbers = spark.range(0, additions, 6007)
+    got = {r.id: r.layer for r in numbers.select("id", one.layer_of(F.col("id"), additions).alias("layer")).collect()}
+    assert got == {n: sum(b <= n for b in bounds) - 1 for n in range(0, additions, 6007)}
+
+
 def test_order(spark):
     rows = spark.createDataFrame([(v, v % 3) for v in [5, 3, 9, 9, 1, 7, None or 4]], "v int, g int")
     assert values(ordering.sort_values(rows, "v"), "v") == sorted(values(rows, "v"))
