@@ -79,6 +79,41 @@ def test_scalable_bloom_of_thousands_of_layers(spark):
     assert got == {n: sum(b <= n for b in bounds) - 1 for n in range(0, additions, 6007)}
 
 
+def test_scalable_bloom_cells(spark, monkeypatch):
+    """Against bitmaps of plain Python, with layers as bitmaps and as tables of cells, and few hashes and layers at once."""
+    from tessera.functions.hashing import siphash24
+    from tessera.operators import bloom
+
+    one, additions = ScalableBloom(0.01, 100), 60_000
+    bounds = one.bounds(additions)
+    items, asked = [str(7 * i) for i in range(3000)], [str(i) for i in range(0, 24_000, 5)]
+
+    hashes = {x: int(h) for x, h in zip([*items, *asked], siphash24([x.encode() for x in [*items, *asked]]))}
+
+    def cells(layer, item):
+        filter_, h = one.layer(layer), hashes[item]
+        bits = filter_.m.bit_length() - 1
+        return {((h >> (64 - bits)) + (h & (filter_.m - 1)) * i) & (filter_.m - 1) for i in range(filter_.k)}
+
+    def check(items, asked, step, additions):
+        bounds, filled = one.bounds(additions), {}
+        for i, x in enumerate(items):
+            layer = sum(b <= i * step for b in bounds) - 1
+            filled[layer] = filled.get(layer, set()) | cells(layer, x)
+        rows = spark.createDataFrame([(x, i * step) for i, x in enumerate(items)] + [(None, 0)], "i string, n bigint")
+        built = one.build(rows, "i", "n", additions)
+        got = {r.i: r.exist for r in one.exist(built, spark.createDataFrame([(x,) for x in [*asked, *asked[:3], None]], "i string"), "i", additions).collect()}
+        assert got == {x: any(cells(layer, x) <= f for layer, f in filled.items()) for x in asked}
+
+    assert len(bounds) > 300
+    check(items[:400], asked[:300], 150, additions)
+    check(items[:600], asked, 1, 600)  # full layers, so some are found by chance
+    monkeypatch.setattr(bloom, "BLOCK", 100)
+    monkeypatch.setattr(bloom, "LAYERS", 2)
+    monkeypatch.setattr(bloom, "WHOLE_BITS", 1 << 10)
+    check(items[:600], asked[:500], 1, 600)
+
+
 def test_order(spark):
     rows = spark.createDataFrame([(v, v % 3) for v in [5, 3, 9, 9, 1, 7, None or 4]], "v int, g int")
     assert values(ordering.sort_values(rows, "v"), "v") == sorted(values(rows, "v"))
