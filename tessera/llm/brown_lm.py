@@ -50,8 +50,8 @@ from tessera.llm.langid import part
 from tessera.operators.storage import written
 
 CORE, RARE, CLASSES, CLASSED = 1000, 512, 64, 1 << 20
-#: Most sweeps of the exchange, which ends when one moves nothing; occurrences from which a word's own contexts choose its class.
-SWEEPS, OWN, DELTA, PULL = 40, 2, 0.1, 5.0
+#: Occurrences from which a word's own contexts choose its class.
+OWN, DELTA, PULL = 2, 0.1, 5.0
 #: Different words that a task remembers.
 CACHE = 300_000
 
@@ -263,12 +263,13 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Classes of units from their bigram counts; the last unit is the end, alone in class 0.
 
     Units start in classes by rank; each in turn, frequent ones first, goes to
     the class that gives the greatest class bigram likelihood, ties to the
-    lowest. Stops when a sweep moves nothing.
+    lowest. Stops when a sweep moves nothing, however many that takes, or when
+    moves are so small that the likelihood in doubles does not grow any more.
     """
     n = len(counts) - 1
     classes = max(2, min(classes, n + 1))
@@ -280,8 +281,12 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
     to, fro = counts @ member, (member.T @ counts).T  # unit to class, class to unit
     joint = member.T @ to
     row, col = joint.sum(1), joint.sum(0)
-    for _ in range(sweeps):
-        moved = 0
+    best, moved = -np.inf, 1
+    while moved:
+        likelihood = _xlogx(joint).sum() - _xlogx(row).sum() - _xlogx(col).sum()
+        if likelihood <= best:
+            break
+        best, moved = likelihood, 0
         for w in order:
             out_total, in_total, self_ = to[w].sum(), fro[w].sum(), counts[w, w]
             if not out_total and not in_total:
@@ -313,8 +318,6 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
                 to[:, new] += counts[:, w]
                 fro[:, old] -= counts[w]
                 fro[:, new] += counts[w]
-        if not moved:
-            break
     return label
 
 

@@ -484,6 +484,26 @@ def test_exchange_finds_classes():
     assert len(set(label[:40:2])) == 1 and len(set(label[1:40:2])) == 1 and label[0] != label[1] and label[40] == 0
 
 
+def test_exchange_ends_where_no_move_helps():
+    """Units around a ring, of which the exchange takes 81 sweeps."""
+    n = 381
+    counts, i = np.zeros((n + 1, n + 1)), np.arange(n + 1)
+    for step, weight in enumerate([16, 17], 1):
+        counts[i, (i + step) % (n + 1)] += weight
+
+    def likelihood(label):
+        member = np.eye(3)[label]
+        joint = member.T @ counts @ member
+        return brown_lm._xlogx(joint).sum() - brown_lm._xlogx(joint.sum(0)).sum() - brown_lm._xlogx(joint.sum(1)).sum()
+
+    label = brown_lm.exchange(counts, classes=3)
+    assert label[n] == 0 and set(label[:n]) == {1, 2}
+    for unit in range(n):
+        other = label.copy()
+        other[unit] = 3 - label[unit]
+        assert likelihood(other) <= likelihood(label) + 1e-6
+
+
 def test_top_k(spark):
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, 1 + i % 3) for _ in range(12)], i) for i in range(300)]
