@@ -48,8 +48,10 @@ from tessera.operators.storage import written
 THRESHOLD, MIN_LENGTH, EXACT_LENGTH = 2, 30, 20
 #: Rows of a key whose signatures are compared; a key of more is cut into segments again, this often at most.
 MANY, DEPTH = 2048, 4
-#: Lines that are compared one by one; symbols that are compared at once.
-FEW, AT_ONCE = 24, 1 << 21
+#: Lines that are not cut into segments; lines with a segment in common that are cut again rather than paired.
+FEW, CROWD = 24, 256
+#: Symbols, and pairs of signatures, that are compared at once.
+AT_ONCE = 1 << 21
 #: 64-bit words of the filter that tells which lines need their text: 16 MB whatever the input.
 FILTER_WORDS = 1 << 21
 #: Line hashes that a task remembers.
@@ -128,20 +130,30 @@ def edit_distance_within(a: str, b: str, k: int) -> int | None:
     return None
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+
+
 def within_many(a: str, others: list[str], k: int) -> np.ndarray:
-    """For each other string whether its edit distance to ``a`` is at most k: the rows of :func:`edit_distance_within` for all at once."""
-    n, size = len(a), np.array([len(b) for b in others])
+    """For each other string whether its edit distance to ``a`` is at most k."""
+    return _within(_codes(a)[None, :], others, k)
+
+
+def _within(own: np.ndarray, others: list[str], k: int) -> np.ndarray:
+    """For each other string whether its edit distance to its row of ``own`` (or the only one) is at most k: the rows of :func:`edit_distance_within` for all at once."""
+    n, size = own.shape[1], np.array([len(b) for b in others])
     out = np.abs(size - n) <= k
     at = np.flatnonzero(out)
     if not len(at) or not n:
         return out
     size = size[at]
+    own = own if len(own) == 1 else own[at]
     wide = n + 3 * k
     codes = np.full((len(at), wide), -1, np.int32)
     inner = np.arange(wide)[None, :] - k
-    codes[(inner >= 0) & (inner < size[:, None])] = np.frombuffer("".join(others[i] for i in at).encode("utf-32-le", "surrogatepass"), np.int32)
-    own = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.int32)
-    same, kind = np.zeros((n, len(at)), np.uint32), np.uint32
+    codes[(inner >= 0) & (inner < size[:, None])] = _codes("".join(others[i] for i in at))
+    kind = np.uint8 if k <= 3 else np.uint32
+    same = np.zeros((n, len(at)), kind)
     for d in range(2 * k + 1):
         same |= (codes[:, d : d + n] == own).T.astype(kind) << kind(d)
     full = kind((1 << (2 * k + 1)) - 1)
@@ -163,12 +175,41 @@ def within_many(a: str, others: list[str], k: int) -> np.ndarray:
             reach = [r & inside for r in spread([r & inside for r in new])]
         else:
             reach = spread(new)
-        if not reach[k].any():
-            break
+        if x % 16 == 15:  # pairs that are out go
+            alive = np.flatnonzero(reach[k])
+            if 2 * len(alive) < len(at):
+                out[np.delete(at, alive)] = False
+                at, size, same, reach = at[alive], size[alive], same[:, alive], [r[alive] for r in reach]
+                if not len(at):
+                    return out
     out[at] = reach[k] >> (size - n + k).astype(kind) & kind(1) != 0
     return out
 
 
+def _link_pairs(lines: list[str], first: np.ndarray, later: np.ndarray, distance: np.ndarray, threshold: int, linked: np.ndarray, rows: np.ndarray) -> None:
+    """Sets ``linked`` at the later line of each pair that links: the pairs of nearest signatures first, further ones of lines that have no link yet."""
+    order = np.lexsort((first, distance, later))
+    first, later = first[order], later[order]
+    start = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]]))
+    rank = np.arange(len(later)) - np.repeat(start, np.diff(np.append(start, len(later))))
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    low, high = 0, 1
+    while low < len(later):
+        some = np.flatnonzero((rank >= low) & (rank < high) & ~linked[rows[later]])
+        if not len(some) and high > rank.max():
+            return
+        some = some[np.argsort(size[first[some]], kind="stable")]
+        for length in np.unique(size[first[some]]).tolist():
+            own = some[size[first[some]] == length]
+            step = max(1, AT_ONCE // max(1, length))
+            for i in range(0, len(own), step):
+                pairs = own[i : i + step]
+                a = _codes("".join(lines[x] for x in first[pairs])).reshape(len(pairs), length)
+                hit = _within(a, [lines[x] for x in later[pairs]], threshold)
+                linked[rows[later[pairs[hit]]]] = True
+        low, high = high, 4 * high
+
+
 def _common(lines: list[str]) -> tuple[int, int]:
     """How many symbols all lines begin with, and end with after those."""
 
@@ -212,26 +253,51 @@ def mark_links(lines: list[str], threshold: int, linked: np.ndarray, rows: np.nd
                 for items in plans[size]:
                     for length, number, wide, p in items:
                         met.setdefault((length, number, x[p : p + wide]), []).append(i)
+        groups: dict[int, list[list[int]]] = {}
         for own in met.values():
-            own = sorted(set(own))
+            own = sorted(set(own)) if len(own) > 1 else own
             if len(own) > 1:
-                mark_links([lines[i] for i in own], threshold, linked, rows[own], depth - 1 if len(own) < n else 0)
+                groups.setdefault(len(own), []).append(own)
+        del met
+        if n in groups:  # a segment of all: cutting does not tell them apart
+            groups = {n: groups[n][:1]}
+        sig = np.array([signature(x) for x in lines], np.uint64)
+        found = []
+        for size, some in sorted(groups.items()):
+            if CROWD < size < n:
+                for own in some:
+                    mark_links([lines[i] for i in own], threshold, linked, rows[own], depth - 1)
+                continue
+            same = np.unique(np.array(some), axis=0)
+            if size > FEW:
+                for own in same:
+                    _link_near(lines, sig, own, threshold, linked, rows)
+                continue
+            a, b = np.triu_indices(size, 1)
+            step = max(1, AT_ONCE // len(a))
+            for i in range(0, len(same), step):
+                first, later = same[i : i + step, a].ravel(), same[i : i + step, b].ravel()
+                keep = (np.bitwise_count(sig[first] ^ sig[later]) <= 2 * threshold) & ~linked[rows[later]]
+                found.append(np.unique(later[keep] * n + first[keep]))
+        pairs = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
+        if len(pairs):
+            later, first = np.divmod(pairs, n)
+            _link_pairs(lines, first, later, np.bitwise_count(sig[first] ^ sig[later]), threshold, linked, rows)
         return
-    sig = np.array([signature(x) for x in lines], np.uint64)
-    for i in range(1, n):
-        if linked[rows[i]]:
-            continue
-        distance = np.bitwise_count(sig[:i] ^ sig[i])
-        near = np.flatnonzero(distance <= 2 * threshold)
-        near = near[np.argsort(distance[near], kind="stable")]
-        if n <= FEW:
-            linked[rows[i]] = any(edit_distance_within(lines[i], lines[j], threshold) is not None for j in near)
-            continue
-        at, some = 0, 32
-        while at < len(near) and not linked[rows[i]]:
-            linked[rows[i]] = within_many(lines[i], [lines[j] for j in near[at : at + some]], threshold).any()
-            at += some
-            some = max(1, min(2 * some, AT_ONCE // max(1, len(lines[i]))))
+    _link_near(lines, np.array([signature(x) for x in lines], np.uint64), np.arange(n), threshold, linked, rows)
+
+
+def _link_near(lines: list[str], sig: np.ndarray, members: np.ndarray, threshold: int, linked: np.ndarray, rows: np.ndarray) -> None:
+    """Compares each of ``members`` (ascending) that has no link yet with all earlier ones of near signature."""
+    own = sig[members]
+    step = max(1, AT_ONCE // len(members))
+    for i in range(0, len(members), step):
+        later = np.arange(i, min(i + step, len(members)))
+        later = later[~linked[rows[members[later]]]]
+        distance = np.bitwise_count(own[later][:, None] ^ own[None, : i + step])
+        y, x = np.nonzero((distance <= 2 * threshold) & (np.arange(distance.shape[1])[None, :] < later[:, None]))
+        if len(y):
+            _link_pairs(lines, members[x], members[later[y]], distance[y, x], threshold, linked, rows)
 
 
 def signature(line: str) -> int:

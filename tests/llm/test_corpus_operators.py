@@ -239,6 +239,25 @@ def test_common_passages_take_linear_time():
     assert took[1] < 6 * took[0] + 0.5, took
 
 
+def test_near_copies_that_do_not_link_take_little_time():
+    rng = random.Random(16)
+    base = "".join(rng.choice("abcdefghij klmnop") for _ in range(400))
+
+    def copy():
+        out = list(base)
+        for _ in range(rng.randint(1, 4)):
+            out[rng.randrange(len(out))] = rng.choice("abcdefghij klmnop")
+        return "".join(out)
+
+    lines = list(dict.fromkeys(copy() for _ in range(240)))
+    linked = np.zeros(len(lines), bool)
+    began = time.time()
+    line_dedup.mark_links(lines, 2, linked, np.arange(len(lines)))
+    assert time.time() - began < 20
+    want = [any(line_dedup.edit_distance_within(x, y, 2) is not None for y in lines[:i]) for i, x in enumerate(lines)]
+    assert linked.tolist() == want and any(want) and not all(want[1:])
+
+
 def test_lines_of_one_document_take_linear_time(spark):
     def seconds(n):
         text = "\n".join(f"a line of many words that comes again {i % 7}" for i in range(n))
