@@ -31,6 +31,16 @@ SEED = 42
 AT_ONCE = 1 << 16
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit pattern of the bits that over half the hashes have; zero if there are none."""
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), AT_ONCE):
+        some = hashes[i : i + AT_ONCE]
+        votes += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(2 * votes > len(hashes), bitorder="little")
+    return int(bits.view("<i8")[0])
+
+
 def simhash(text: str | None, width: int = 3) -> int:
     """The signed 64-bit fingerprint of one text."""
     words = (text or "").encode().lower().split()  # on bytes: A-Z only, ASCII white space
@@ -42,12 +52,7 @@ def simhash(text: str | None, width: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     k = min(width, n)
     hashes = np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[k - 1 :])), np.uint64, n - k + 1)
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), AT_ONCE):
-        some = hashes[i : i + AT_ONCE]
-        votes += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * votes > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return majority(hashes)
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:

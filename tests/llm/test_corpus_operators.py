@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import brown_lm, gray_index, line_dedup, mixing, packing, shingle_dedup, simhash_dedup, topk
+from tessera.llm import brown_lm, common, gray_index, line_dedup, mixing, packing, shingle_dedup, simhash_dedup, topk
 from tessera.llm.components import components
 from tessera.llm.langid import part
 
@@ -112,6 +112,27 @@ def test_pipeline_drops_similar_texts(spark, docs, doc_rows, none):
     assert shingle_dedup.keep_one_similar(none).count() == 0
 
 
+def test_pipeline_links_by_simhash(spark):
+    rng = random.Random(18)
+    rows = []
+    for i in range(12):
+        words = [str(rng.randrange(10**5)) for _ in range(900)]
+        rows.append((2 * i, " ".join(words)))
+        words[rng.randrange(900)] = "x"
+        rows.append((2 * i + 1, " ".join(words)))
+    sims = [shingle_dedup.majority(shingle_dedup.shingles(t)) for _, t in rows]
+    linked = {(i, j) for i in range(len(rows)) for j in range(i) if ((sims[i] ^ sims[j]) & ((1 << 64) - 1)).bit_count() <= 3}
+    assert len(linked) > 6 and all(i - j == 1 and j % 2 == 0 for i, j in linked) and any(sims[i] != sims[j] for i, j in linked)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    each = common.map_arrow(known, lambda b: shingle_dedup._signed(b, 5), "doc_id bigint, h bigint, fp bigint, sim bigint, keys array<bigint>")
+    # without a MinHash key sets meet by their fingerprints only
+    each = each.withColumn("keys", F.array().cast("array<bigint>")).localCheckpoint()
+    by_fp = {r.fp: r.doc_id for r in each.collect()}
+    links = shingle_dedup.similar_links(docs, each, 5, 0.8).collect()
+    assert {tuple(sorted((by_fp[r.a], by_fp[r.b]), reverse=True)) for r in links} == linked
+
+
 def test_link_sets_joins_what_chains_join():
     rng = np.random.default_rng(3)
     for _ in range(60):
