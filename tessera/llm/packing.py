@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, table
-from tessera.llm.tokens import tokenizer
+from tessera.llm.tokens import forget, tokenizer
 from tessera.operators.ordering import numbered
 from tessera.operators.storage import new_path, remove, written
 
@@ -258,6 +258,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _routed(batches: Iterator[pa.RecordBatch], kind: str, shared) -> Iterator[pa.RecordBatch]:
+    forget()
     leaders, statistics = shared.value
     router = None
     for batch in batches:

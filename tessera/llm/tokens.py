@@ -11,9 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from tessera.llm.common import give_back
+
 #: Words that a process remembers, the latest first, and pieces of words: a generation, and the one before.
 CACHE = 400_000
 PIECES = 100_000
+#: Words whose ids are put in place at once.
+PLACED = 1 << 18
 #: The tokenizer's own way of cutting lower-cased text; fixed value.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words of these characters only are cut here; all others go through the whole tokenizer.
@@ -95,6 +99,8 @@ class WordTokens:
         if word.isascii() and word[-1:] in ".,;:!?" and word[:-1].isalpha():
             return self._piece(word[:-1]) + self._piece(word[-1])
         if PLAIN.fullmatch(word):
+            if word.isalpha():
+                return self._piece(word.lower())
             return b"".join(map(self._piece, PIECE.findall(word.lower())))
         return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids) if word else b""
 
@@ -131,13 +137,22 @@ class WordTokens:
         cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         coded = cut.flatten().dictionary_encode()
         offsets = cut.offsets.to_numpy()
+        del cut  # as large as all words; what follows needs room
         # the words are made small, not the texts: ascii_lower reads slices of large strings at the wrong place
         small = pc.ascii_lower(coded.dictionary).dictionary_encode()
-        ids, first, size = self._look_up(small.dictionary)
-        code = small.indices.to_numpy()[coded.indices.to_numpy()]
-        sizes = size[code]
-        ends = np.cumsum(sizes)
-        return ids[_spans(first[code], sizes)], np.append(0, ends)[offsets - offsets[0]]
+        code, different = small.indices.to_numpy()[coded.indices.to_numpy()], small.dictionary
+        del coded, small
+        ids, first, size = self._look_up(different)
+        del different
+        start = np.append(0, np.cumsum(size[code]))[offsets - offsets[0]]
+        out = np.empty(start[-1], "<u4")
+        done = 0
+        for i in range(0, len(code), PLACED):
+            some = code[i : i + PLACED]
+            at = _spans(first[some], size[some])
+            out[done : done + len(at)] = ids[at]
+            done += len(at)
+        return out, start
 
     def ids(self, text: str | None) -> np.ndarray:
         return self.of(pa.array([text], pa.string()))[0]
@@ -146,3 +161,10 @@ class WordTokens:
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokens:
     return WordTokens(path)
+
+
+def forget() -> None:
+    """Drops this process's tokenizers and the words that they remember, which steps after the tokenising have no use for."""
+    if tokenizer.cache_info().currsize:
+        tokenizer.cache_clear()
+        give_back()

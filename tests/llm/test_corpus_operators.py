@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import brown_lm, common, gray_index, line_dedup, mixing, packing, shingle_dedup, simhash_dedup, topk
+from tessera.llm import brown_lm, common, gray_index, line_dedup, mixing, packing, shingle_dedup, simhash_dedup, tokens, topk
 from tessera.llm.components import components
 from tessera.llm.langid import part
 
@@ -669,6 +669,35 @@ def test_stages_of_an_empty_table(spark, none):
         assert stage(spark, none.select("doc_id", "text", "lang", "source", "n_chars"), "").count() == 0, name
 
 
+def test_tasks_give_their_memory_back(spark, monkeypatch):
+    def held(batches):
+        for batch in batches:
+            kept = [bytes(1 << 10) for _ in range(100_000)]  # small pieces, which the allocator keeps
+            del kept
+            yield batch
+
+    def resident(batches):
+        for batch in batches:
+            rss = int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1]) >> 10
+            yield pa.RecordBatch.from_arrays([pa.array([rss] * batch.num_rows, pa.int64())], names=["id"])
+
+    one = spark.range(1).coalesce(1)
+    before = common.map_arrow(one, resident, "id bigint").first().id
+    common.map_arrow(one, held, "id bigint").collect()
+    assert common.map_arrow(one, resident, "id bigint").first().id < before + 50
+
+
+def test_routing_forgets_the_tokenizer():
+    path = packing.default_tokenizer()
+    tokens.tokenizer(path)
+    docs = [np.array([2, 3, 1], "<u2"), np.array([3, 4, 1], "<u2")]
+    statistics = packing.Statistics(2, 3.0, np.bincount(np.concatenate(docs), minlength=1 << 16))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([8]), pa.array([docs[0].tobytes()])], names=["doc_id", "h", "ids"])
+    shared = type("Shared", (), {"value": (docs, statistics)})
+    assert len(list(packing._routed(iter([batch]), "<u2", shared))) == 1
+    assert tokens.tokenizer.cache_info().currsize == 0
+
+
 def test_remembered_words_do_not_change_ids():
     from tokenizers import Tokenizer
 
