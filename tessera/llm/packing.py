@@ -27,6 +27,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,8 @@ SHARD_DOCS, SHARD_TOKENS = 2000, 1 << 23
 MOST_GROUPS, TASK_BYTES = 1 << 16, 8 << 20
 #: Leaders among which the nearest one is named, level by level.
 LEVELS = (8, 32, 128, 512)
-#: A term in more than one of so many documents of a shard has a dense row.
-DENSE = 24
+#: A term in more than one of so many documents of a shard, or leaders, has a dense row.
+DENSE = 8
 #: Neighbours that are put in order first.
 FIRST = 32
 #: Bytes of text that are cut into words at once, and rows of a batch of ids.
@@ -55,6 +56,17 @@ K1, B = 1.2, 0.75
 PIECES = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+def counted(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids of a document, in order, and how often each occurs: ``np.unique`` takes longer on so few."""
+    if not len(doc):
+        return doc, np.zeros(0, np.int64)
+    ids = np.sort(doc)
+    last = np.append(np.flatnonzero(ids[1:] != ids[:-1]), len(ids) - 1)
+    count = last + 1
+    count[1:] -= count[:-1].copy()
+    return ids[last], count
+
+
 @dataclass(frozen=True)
 class Statistics:
     """Of a whole table: documents, their mean length, and in how many of them each id occurs."""
@@ -63,9 +75,12 @@ class Statistics:
     mean: float
     df: np.ndarray
 
+    @cached_property
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.docs - self.df + 0.5) / (self.df + 0.5))
+
     def impacts(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray | float) -> np.ndarray:
-        df = self.df[term]
-        return np.log1p((self.docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
 
     @classmethod
     def of(cls, docs: list[np.ndarray]) -> Statistics:
@@ -81,7 +96,7 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], statistics: Statistics | None = None):
         n = len(docs)
-        unique = [np.unique(d, return_counts=True) for d in docs]
+        unique = [counted(d) for d in docs]
         sizes = np.array([len(d) for d in docs], float)
         owner = np.repeat(np.arange(n), [len(u) for u, _ in unique])
         term, tf = np.concatenate([u for u, _ in unique]), np.concatenate([c for _, c in unique]).astype(float)
@@ -175,26 +190,41 @@ def pack(docs: list[np.ndarray], window: int = WINDOW, statistics: Statistics |
 
 
 class Router:
-    """Keys of documents: their nearest leader on each level, then their most telling term."""
+    """Keys of documents: their nearest leader on each level, then their most telling term.
+
+    Terms that many leaders hold have a dense row of weights, the others a list of postings.
+    """
 
     def __init__(self, leaders: list[np.ndarray], statistics: Statistics):
         self.statistics = statistics
+        self.leaders = len(leaders)
         weights = [self._weights(d) for d in leaders]
-        self.row = np.full(len(statistics.df), -1, np.int64)
-        used = np.unique(np.concatenate([t for t, _ in weights]))
-        self.row[used] = np.arange(len(used))
-        self.table = np.zeros((len(used), len(leaders)), np.float32)
-        for i, (term, weight) in enumerate(weights):
-            self.table[self.row[term], i] = weight / np.linalg.norm(weight)
+        owner = np.repeat(np.arange(len(leaders)), [len(t) for t, _ in weights])
+        term = np.concatenate([t for t, _ in weights]).astype(np.int64)
+        weight = np.concatenate([w / np.linalg.norm(w) for _, w in weights]).astype(np.float32)
+        df = np.bincount(term, minlength=len(statistics.df))
+        common = df * DENSE > len(leaders)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.table = np.zeros((int(common.sum()), len(leaders)), np.float32)
+        dense = common[term]
+        self.table[self.row[term[dense]], owner[dense]] = weight[dense]
+        order = np.flatnonzero(~dense)[np.argsort(term[~dense], kind="stable")]
+        self.leader, self.weight = owner[order], weight[order]
+        self.size = np.where(common, 0, df)
+        self.first = np.cumsum(self.size) - self.size
 
     def _weights(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        term, tf = np.unique(doc, return_counts=True)
+        term, tf = counted(doc)
         return term, self.statistics.impacts(term, tf, len(doc))
 
     def key(self, doc: np.ndarray) -> int:
         term, weight = self._weights(doc)
         row = self.row[term]
         near = weight[row >= 0].astype(np.float32) @ self.table[row[row >= 0]]
+        size = self.size[term]
+        ends = np.cumsum(size)
+        at = np.repeat(self.first[term] - ends + size, size) + np.arange(ends[-1])
+        near = near + np.bincount(self.leader[at], self.weight[at] * np.repeat(weight, size), self.leaders)
         out = 0
         for n in LEVELS:
             out = (out << 9) | int(near[:n].argmax())
@@ -226,7 +256,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         flat, docs = flat.astype(kind), batch.num_rows
         ends = np.insert(flat, start[1:], END)  # one end after each document
         edges = start + np.arange(docs + 1)
-        terms = np.concatenate([np.unique(ends[a:b]) for a, b in zip(edges, edges[1:])])
+        terms = np.concatenate([counted(ends[a:b])[0] for a, b in zip(edges, edges[1:])])
         found = np.bincount(terms, minlength=len(df))
         found[: len(df)] += df
         df = found

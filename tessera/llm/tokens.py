@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from array import array
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +21,8 @@ PIECES = 100_000
 PLACED = 1 << 18
 #: The tokenizer's own way of cutting lower-cased text; fixed value.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Characters that are one piece after a word's letters, however many.
+MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
 #: Words of these characters only are cut here; all others go through the whole tokenizer.
 PLAIN = regex.compile(r"[\x21-\x3b\x3d\x3f-\x7e\xa1-\xac\xae-\xff]+")
 
@@ -79,28 +82,28 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = byte_letters()
+        self.letters = "".join(letter for _, letter in sorted(byte_letters().items()))
         self.pieces = Recent()
         # remembered words, and their ids one after another
         self.words, self.ids_of = pa.array([], pa.large_string()), np.zeros(0, "<u4")
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece) or self.pieces.recall(piece)
+        found = self.pieces.get(piece)
         if found is None:
-            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            found = self.pieces.recall(piece)
+        if found is None:
+            mapped = piece if piece.isascii() else charmap_decode(piece.encode(), "strict", self.letters)[0]
             self.pieces[piece] = found = _packed([t.id for t in self.tokenizer.model.tokenize(mapped)])
         return found
 
     def _word(self, word: str) -> bytes:
         """Ids of a word whose ASCII letters are small."""
-        if word.isascii() and word.isalpha():
-            return self._piece(word)
-        if word.isascii() and word[-1:] in ".,;:!?" and word[:-1].isalpha():
-            return self._piece(word[:-1]) + self._piece(word[-1])
+        body = word.rstrip(MARKS)
+        if body.isalpha() and (body.isascii() or PLAIN.fullmatch(body)):
+            found = self._piece(body.lower())
+            return found + self._piece(word[len(body) :]) if len(body) < len(word) else found
         if PLAIN.fullmatch(word):
-            if word.isalpha():
-                return self._piece(word.lower())
             return b"".join(map(self._piece, PIECE.findall(word.lower())))
         return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids) if word else b""
 

@@ -698,6 +698,30 @@ def test_routing_forgets_the_tokenizer():
     assert tokens.tokenizer.cache_info().currsize == 0
 
 
+def test_router_by_plain_weights():
+    rng = np.random.default_rng(19)
+    docs = [np.append(np.minimum(rng.zipf(1.3, rng.integers(0, 200)), 3000), 1).astype("<u2") for _ in range(600)]
+    statistics = packing.Statistics(600, float(np.mean([len(d) for d in docs])), np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16))
+    router = packing.Router(docs[:512], statistics)
+    assert len(router.table) < 512  # rows of terms that few leaders hold would fill a task's memory
+    assert len(router.leader) + np.count_nonzero(router.table) == sum(len(np.unique(d)) for d in docs[:512])
+
+    def weights(d):
+        out = np.zeros(1 << 16)
+        for t, tf in Counter(d.tolist()).items():
+            df = statistics.df[t]
+            out[t] = math.log(1 + (600 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / statistics.mean))
+        return out
+
+    leaders = np.array([w / np.linalg.norm(w) for w in map(weights, docs[:512])])
+    for d in docs[500:540]:
+        key, own = router.key(d), weights(d)
+        near = leaders @ own
+        for n, shift in zip(packing.LEVELS, (51, 42, 33, 24)):
+            assert near[(key >> shift) & 511] > near[:n].max() - 1e-4
+        assert own[key & ((1 << 24) - 1)] > own.max() - 1e-9
+
+
 def test_remembered_words_do_not_change_ids():
     from tokenizers import Tokenizer
 
