@@ -41,6 +41,15 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def latin(word: str) -> bool:
+    """Whether no character lies beyond U+00FF."""
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places of spans one after another."""
     ends = np.cumsum(size)
@@ -83,6 +92,8 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = "".join(letter for _, letter in sorted(byte_letters().items()))
+        self.tokenize = self.tokenizer.model.tokenize
+        self.packed = [_packed([i]) for i in range(1 + max(self.tokenizer.get_vocab().values()))]
         self.pieces = Recent()
         # remembered words, and their ids one after another
         self.words, self.ids_of = pa.array([], pa.large_string()), np.zeros(0, "<u4")
@@ -94,14 +105,15 @@ class WordTokens:
             found = self.pieces.recall(piece)
         if found is None:
             mapped = piece if piece.isascii() else charmap_decode(piece.encode(), "strict", self.letters)[0]
-            self.pieces[piece] = found = _packed([t.id for t in self.tokenizer.model.tokenize(mapped)])
+            known = self.packed
+            self.pieces[piece] = found = b"".join([known[t.id] for t in self.tokenize(mapped)])
         return found
 
     def _word(self, word: str) -> bytes:
         """Ids of a word whose ASCII letters are small."""
         body = word.rstrip(MARKS)
-        if body.isalpha() and (body.isascii() or PLAIN.fullmatch(body)):
-            found = self._piece(body.lower())
+        if body.isalpha() and (body.isascii() or latin(body)):
+            found = self.pieces.get(body) or self._piece(body if body.isascii() else body.lower())
             return found + self._piece(word[len(body) :]) if len(body) < len(word) else found
         if PLAIN.fullmatch(word):
             return b"".join(map(self._piece, PIECE.findall(word.lower())))
